@@ -15,6 +15,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm import sharding
+
+    return sharding.query(spark, documents(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm import token_files
 
@@ -27,5 +33,17 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(spark, documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
+def op8_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm import simhash
+
+    return simhash.query(spark, documents(spark, sf_dir))
+
+
+def op9_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm import bloom_dedup
+
+    return bloom_dedup.query(spark, documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
