@@ -27,12 +27,24 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.query(spark, documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
+def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm import quality
+
+    return quality.query(spark, documents(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm import packing
 
     return packing.query(spark, documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
+def op7_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm import secrets
+
+    return secrets.query(spark, documents(spark, sf_dir))
+
+
 def op8_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm import simhash
 
