@@ -15,6 +15,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm import pieces
+
+    return pieces.query(spark, documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+
+
 def op2_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm import sharding
 
@@ -57,5 +63,11 @@ def op9_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.query(spark, documents(spark, sf_dir))
 
 
+def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm import pii
+
+    return pii.query(spark, documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
