@@ -45,6 +45,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(spark, documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
+def op6_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm import maxent
+
+    return maxent.query(spark, documents(spark, sf_dir))
+
+
 def op7_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm import secrets
 
