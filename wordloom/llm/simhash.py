@@ -18,6 +18,7 @@ empty table gives no rows. Other columns are not read by `near_groups` and pass
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -32,7 +33,7 @@ from wordloom.llm.graph import components
 
 SEED = 42
 #: Distinct fingerprints of a bucket that are compared with one another.
-SMALL = 64
+SMALL = 4096
 #: Hashes whose bits are spread at a time.
 CHUNK = 1 << 15
 
@@ -77,56 +78,86 @@ def masks(radius: int) -> list[int]:
     return out
 
 
-def _forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """values: buckets x fingerprints. Links from each fingerprint to the smallest of its component in the bucket."""
-    near = np.bitwise_count(values[:, :, None] ^ values[:, None, :]) <= radius
-    n = values.shape[1]
-    label = np.broadcast_to(np.arange(n), values.shape).copy()
+def _labels(near: np.ndarray) -> np.ndarray:
+    """near: buckets x n x n. For each member, the first member of its component."""
+    n = near.shape[1]
+    label = np.broadcast_to(np.arange(n, dtype=np.int32), near.shape[:2]).copy()
     while True:
-        new = np.where(near, label[:, None, :], n).min(axis=2)
+        new = label.copy()
+        for i in range(0, n, 256):
+            new[:, i : i + 256] = np.where(near[:, i : i + 256], label[:, None, :], n).min(axis=2)
         new = np.minimum(new, np.take_along_axis(new, new, axis=1))
         if (new == label).all():
-            break
+            return label
         label = new
-    bucket, i = np.nonzero(label != np.arange(n))
-    return values[bucket, i], values[bucket, label[bucket, i]]
 
 
-def links(prints: DataFrame, radius: int) -> DataFrame:
-    """prints(fp), distinct and stored, to links (a, b) whose components are those of all pairs within the radius."""
+def _forest(fps: np.ndarray, sketches: list[np.ndarray], radius: int, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """fps and sketches: buckets x n. Places (bucket, member) of members, with the first of their component."""
+    k, n = fps.shape
+    near = np.zeros((k, n, n), bool)
+    for i in range(0, n, 256):
+        near[:, i : i + 256] = np.bitwise_count(fps[:, i : i + 256, None] ^ fps[:, None, :]) <= radius
+        if sketches:
+            apart = sum(np.bitwise_count(s[:, i : i + 256, None] ^ s[:, None, :]).astype(np.int16) for s in sketches)
+            near[:, i : i + 256] &= apart <= agree
+    label = _labels(near)
+    bucket, member = np.nonzero(label != np.arange(n))
+    return bucket * n + member, bucket * n + label[bucket, member]
+
+
+def links(prints: DataFrame, radius: int, agree: int = 0) -> DataFrame:
+    """prints (node, fps, sketch; stored, nodes distinct) to links (a, b) of nodes. Their components are those of all
+    pairs that are within the radius in one of fps and, if there are sketches, within `agree` in those together.
+    (Nodes of a bucket of over SMALL are linked by fps alone.)"""
     if radius % 2:
         raise ValueError("the radius is even here: buckets too large to compare are linked by words half way")
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(m).alias("m")) for i, m in enumerate(masks(radius))])
-    keyed = prints.select("fp", F.explode(tables).alias("x")).select("fp", F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("bucket"))
+    first = prints.first()
+    if first is None:
+        return prints.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    count, parts = len(first.fps), len(first.sketch)
+    own = masks(radius)
+    tables = F.array(*[F.struct(F.lit(k * len(own) + i).alias("t"), F.get("fps", F.lit(k)).bitwiseAND(F.lit(m)).alias("bucket")) for k in range(count) for i, m in enumerate(own)])
+    keyed = prints.select("node", F.explode(tables).alias("x")).select("node", "x.t", "x.bucket")
     sizes = keyed.groupBy("t", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = stored(keyed.join(sizes.hint("merge"), ["t", "bucket"]).select("t", "bucket", "fp", "n"), "buckets")
+    rows = keyed.join(sizes.hint("merge"), ["t", "bucket"]).select("t", "bucket", "node", "n")
+    plain = count == 1 and not parts  # the node is its fingerprint
+    if plain:
+        rows = rows.withColumn("fp", F.col("node"))
+    else:
+        rows = rows.join(prints.hint("merge"), "node").select("t", "bucket", "node", "n", F.get("fps", F.expr(f"t div {len(own)}").cast("int")).alias("fp"), *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(parts)])
+    rows = stored(rows, "buckets")
+    values = ["node", "fp", *[f"s{i}" for i in range(parts)]]
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            lists = b.column(0)
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            ends = b.column(0).offsets.to_numpy()
+            at, sizes = ends - ends[0], np.diff(ends)
+            flat = [c.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in b.columns]
             for n in np.unique(sizes):
-                first = at[:-1][sizes == n]
+                starts = at[:-1][sizes == n]
                 step = max(1, (1 << 20) // int(n * n))
-                for k in range(0, len(first), step):
-                    a, c = _forest(flat[first[k : k + step, None] + np.arange(n)].view(np.uint64), radius)
-                    yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["a", "b"])
-
-    small = rows.filter(F.col("n") <= SMALL).groupBy("t", "bucket").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(compare, "a long, b long")
+                for k in range(0, len(starts), step):
+                    index = starts[k : k + step, None] + np.arange(n)
+                    # the smallest node first, so that the roots of buckets agree
+                    index = np.take_along_axis(index, np.argsort(flat[0][index].view(np.int64), axis=1), axis=1)
+                    nodes = flat[0][index].view(np.int64).reshape(-1)
+                    x, y = _forest(flat[1][index], [f[index] for f in flat[2:]], radius, agree)
+                    yield pa.record_batch([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
+
+    small = rows.filter(F.col("n") <= SMALL).groupBy("t", "bucket").agg(*[F.collect_list(v).alias(v) for v in values]).select(*values).mapInArrow(compare, "a long, b long")
     flips = np.array([0] + [sum(1 << i for i in c) for k in range(1, radius // 2 + 1) for c in combinations(range(64), k)], np.uint64)
 
     def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fps = b.column(0).to_numpy(zero_copy_only=False)
-            for k in range(0, len(fps), 64):
-                own = fps[k : k + 64]
-                yield pa.record_batch([pa.array((own.view(np.uint64)[:, None] ^ flips).reshape(-1).view(np.int64)), pa.array(np.repeat(own, len(flips)))], ["word", "fp"])
-
-    dense = rows.filter(F.col("n") > SMALL).select("fp").distinct().mapInArrow(spread, "word long, fp long")
-    low = dense.groupBy("word").agg(F.min("fp").alias("b"), F.max("fp").alias("z")).filter("b < z").drop("z")
-    star = dense.join(low, "word").select(F.col("fp").alias("a"), "b")
+            k, fps, nodes = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for i in range(0, len(fps), 64):
+                words = (fps[i : i + 64].view(np.uint64)[:, None] ^ flips).reshape(-1).view(np.int64)
+                yield pa.record_batch([pa.array(np.repeat(k[i : i + 64], len(flips))), pa.array(words), pa.array(np.repeat(nodes[i : i + 64], len(flips)))], ["k", "word", "node"])
+
+    dense = rows.filter(F.col("n") > SMALL).select(F.expr(f"t div {len(own)}").cast("long").alias("k"), "fp", "node").distinct().mapInArrow(spread, "k long, word long, node long")
+    low = dense.groupBy("k", "word").agg(F.min("node").alias("b"), F.max("node").alias("z")).filter("b < z").drop("z")
+    star = dense.join(low, ["k", "word"]).select(F.col("node").alias("a"), "b")
     return small.unionByName(star).filter("a <> b").distinct()
 
 
@@ -134,12 +165,69 @@ def near_groups(docs: DataFrame, words_in_shingle: int = 5, radius: int = 4, doc
     """One row for each row: doc_id, fingerprint, component_id (the smallest id that links reach)."""
     rows = stored(fingerprints(docs, words_in_shingle, doc_id, text), "simhash")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(links(distinct.select("fp"), radius))
+    roots = components(links(distinct.select(F.col("fp").alias("node"), F.array("fp").alias("fps"), F.array().cast("array<bigint>").alias("sketch")), radius))
     placed = distinct.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     firsts = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     found = placed.select("fp", "root").join(firsts.hint("merge"), "root").select("fp", "component_id")
     return rows.join(found.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: For copies by similarity: words of a shingle, least similarity (Jaccard, of shingles), fingerprints that find
+#: candidates, least bytes of their words, least number of such words.
+SHINGLE, SIMILARITY, FINDERS, LONG_WORD, LONG_WORDS = 5, 0.8, 3, 5, 8
+#: Bits of the sketch of shingles in which texts of that similarity differ on average: the angle of sets with the cosine
+#: 2s/(1+s), as a share of a half turn.
+SKETCH = 256
+AGREE = int(SKETCH * math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi)
+
+
+def _votes(features: list[bytes], seed: int) -> np.ndarray:
+    """256 bits: the majority of two 128-bit hashes of each feature."""
+    if not features:
+        return np.zeros(4, np.uint64)
+    votes = np.zeros(SKETCH, np.int64)
+    for i in range(0, len(features), CHUNK):
+        part = features[i : i + CHUNK]
+        digests = b"".join([xxhash.xxh3_128_digest(f, seed) + xxhash.xxh3_128_digest(f, seed + 1) for f in part])
+        votes += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, SKETCH // 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(features)).view(np.uint64)
+
+
+def signature(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints that find candidates, and the sketch that judges them. An edited word changes SHINGLE shingles but
+    one word, so finders are of the text's long words (a text with few of these: of its shingles)."""
+    words = text.encode().lower().split()
+    shingles = list({b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))})
+    long = list({w for w in words if len(w) >= LONG_WORD})
+    sketch = _votes(shingles, 0)
+    return (_votes(long, 2) if len(long) >= LONG_WORDS else sketch)[:FINDERS], sketch
+
+
+def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns: of texts that are linked by similarity, those with the smallest id
+    (a null id before all others)."""
+    prepare(docs.sparkSession)
+    names = docs.columns
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found = [signature(t) for t in b.column(1).to_pylist()]
+            both = [np.concatenate(x) for x in found]
+            node = [np.int64(np.uint64(xxhash.xxh64_intdigest(x.tobytes()) >> 1)) for x in both]
+            fps, sketch = ([x[i].view(np.int64).tolist() for x in found] for i in (0, 1))
+            yield pa.record_batch([b.column(0), pa.array(node, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "node", "fps", "sketch"])
+
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
+    prints = stored(slim.mapInArrow(run, "doc_id long, node long, fps array<long>, sketch array<long>"), "signatures")
+    nodes = stored(prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("low"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")), "nodes")
+    roots = components(links(nodes.select("node", "fps", "sketch"), 4, AGREE))
+    placed = nodes.select("node", "low").join(roots.hint("merge"), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    best = placed.groupBy("root").agg(F.min(F.struct("low", "node")).alias("best")).select("best.low.doc_id", "best.node")
+    # the text's node is not kept with the text: rows are told by id and hash of text
+    told = prints.select("doc_id", "node").join(best.select(F.col("doc_id").alias("wl_id"), F.col("node")).hint("merge"), "node").filter(F.col("doc_id").eqNullSafe(F.col("wl_id"))).select(F.col("doc_id").alias("wl_id")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("wl_row"), F.col(doc_id).cast("long").alias("wl_key"))
+    return whole.join(told, F.col("wl_key").eqNullSafe(F.col("wl_id")), "left_semi").select("wl_row.*")
+
+
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return near_groups(docs, words_in_shingle=4, radius=4)
