@@ -174,22 +174,20 @@ def near_groups(docs: DataFrame, words_in_shingle: int = 5, radius: int = 4, doc
 
 #: For copies by similarity: words of a shingle, least similarity (Jaccard, of shingles), fingerprints that find
 #: candidates, least bytes of their words, least number of such words.
-SHINGLE, SIMILARITY, FINDERS, LONG_WORD, LONG_WORDS = 5, 0.8, 3, 5, 8
-#: Bits of the sketch of shingles in which texts of that similarity differ on average: the angle of sets with the cosine
-#: 2s/(1+s), as a share of a half turn.
-SKETCH = 256
-AGREE = int(SKETCH * math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi)
-
-
-def _votes(features: list[bytes], seed: int) -> np.ndarray:
-    """256 bits: the majority of two 128-bit hashes of each feature."""
-    if not features:
-        return np.zeros(4, np.uint64)
-    votes = np.zeros(SKETCH, np.int64)
+SHINGLE, SIMILARITY, FINDERS, LONG_WORD, LONG_WORDS = 5, 0.8, 4, 5, 8
+#: Bits of the sketch of shingles, and those in which texts of that similarity differ: the angle of sets with the cosine
+#: 2s/(1+s), as a share of a half turn, with half a standard deviation of room so that pairs at the limit are linked.
+SKETCH = 512
+APART = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+AGREE = int(SKETCH * APART + 0.5 * math.sqrt(SKETCH * APART * (1 - APART)))
+
+
+def _votes(features: list[bytes], seed: int, bits: int) -> np.ndarray:
+    """The majority of the 128-bit hashes of all features, with as many seeds as the bits take."""
+    votes = np.zeros(bits, np.int64)
     for i in range(0, len(features), CHUNK):
-        part = features[i : i + CHUNK]
-        digests = b"".join([xxhash.xxh3_128_digest(f, seed) + xxhash.xxh3_128_digest(f, seed + 1) for f in part])
-        votes += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, SKETCH // 8), axis=1).sum(axis=0, dtype=np.int64)
+        digests = b"".join([xxhash.xxh3_128_digest(f, s) for f in features[i : i + CHUNK] for s in range(seed, seed + bits // 128)])
+        votes += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, bits // 8), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * votes > len(features)).view(np.uint64)
 
 
@@ -199,8 +197,8 @@ def signature(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = text.encode().lower().split()
     shingles = list({b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))})
     long = list({w for w in words if len(w) >= LONG_WORD})
-    sketch = _votes(shingles, 0)
-    return (_votes(long, 2) if len(long) >= LONG_WORDS else sketch)[:FINDERS], sketch
+    sketch = _votes(shingles, 0, SKETCH)
+    return (_votes(long, SKETCH, 256) if len(long) >= LONG_WORDS else sketch)[:FINDERS], sketch
 
 
 def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
