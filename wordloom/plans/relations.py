@@ -12,9 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("array<long>")
-def words_of(values):
-    """FLOAT arrays to BF16 words, rounded to nearest even."""
+def _words(values):
     import pandas as pd
 
     sizes = [len(v) for v in values]
@@ -23,6 +21,11 @@ def words_of(values):
     return pd.Series(np.split(out, np.cumsum(sizes)[:-1]) if sizes else [], dtype=object)
 
 
+def words_of(values: str | Column) -> Column:
+    """FLOAT arrays to BF16 words, rounded to nearest even."""
+    return F.pandas_udf(_words, "array<long>")(values)
+
+
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tensor, vec_id, r, xs (values), ws (words)."""
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
