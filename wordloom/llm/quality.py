@@ -1,8 +1,7 @@
 """Quality rules by distribution divergence, in DataFrame expressions alone.
 
-Each language has a reference, fitted on a sample of about REFERENCE_ROWS rows that name it (chosen by hash, so that
-all of a smaller corpus counts): how its characters fall into classes, and how often each of its most common words
-stands in its text. Every document is judged on its whole text. A document is compared by Jensen-Shannon
+Each language has a reference, summed over the whole texts of all documents that name it: how its characters fall into
+classes, and how often each of its most common words stands in its text. A document is compared by Jensen-Shannon
 distance (the root of the divergence in bits, 0 to 1) with the reference of its language; where that is far or not
 known, with the others, since a wrong label is no fault of the text. It is rejected if it is farther than a limit from
 all of them. Histograms of short texts scatter: below a least number of characters or words a histogram is no evidence,
@@ -22,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import stored, whole_text
+from wordloom.llm.common import whole_text
 from wordloom.llm.spans import let
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -35,8 +34,6 @@ LEAST_CHARS, LEAST_WORDS = 200, 80
 CHAR_LIMIT, WORD_LIMIT = 0.30, 0.47
 #: Words that a language needs for a reference.
 REFERENCE_WORDS = 5000
-#: Rows on which references are fitted, about.
-REFERENCE_ROWS = 20_000
 CLASSES = ["upper", "digit", "symbol", "space", "other"]
 
 
@@ -63,10 +60,7 @@ def _language(docs: DataFrame, lang: str) -> Column:
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[dict]:
     """Up to LANGUAGES references: lang, classes (shares), words (lower-case word to share of all words)."""
     rows = docs.select(_language(docs, lang).alias("lang"), whole_text(text).alias("text")).filter("lang <> ''")
-    share = REFERENCE_ROWS / max(1, docs.count())
-    if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64("lang", "text", F.monotonically_increasing_id()), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = stored(rows.select("lang", "text", _words(F.lower("text")).alias("words")), "reference-rows")
+    rows = rows.select("lang", "text", _words(F.lower("text")).alias("words"))
     chars = F.length("text")
     found = _counts(_marks(F.col("text")), chars, F.length(F.array_join("words", "")))
     sums = rows.groupBy("lang").agg(F.sum(chars).alias("chars"), F.sum(F.size("words")).alias("n"), *[F.sum(c).alias(k) for k, c in found.items()])
@@ -164,7 +158,7 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", refs: list[d
         return (F.size(w) < LEAST_WORDS) | own_or_any([F.pow(word_distance(w, r), 2) <= limit for r in refs])
 
     def measured(w: Column) -> Column:
-        lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.trim(F.lit(SPACE), x)) > 0)
+        lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.trim(x, F.lit(SPACE))) > 0)
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
