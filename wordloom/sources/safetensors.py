@@ -106,7 +106,9 @@ class Reader(DataSourceReader):
                 out += [Range(file, name, entry["dtype"], cols, base + start + 2 * i, i, min(RANGE_WORDS, rows * cols - i)) for i in range(0, rows * cols, RANGE_WORDS)]
         return out
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a plan without partitions
+            return
         system, at = _system(partition.path)
         with system.open_input_file(at) as f:
             f.seek(partition.at)
