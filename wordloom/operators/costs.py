@@ -21,10 +21,11 @@ def in_tile(d):
 
 
 def shapes(d):
-    """CTE bodies: n, distinct symbols and the count of the commonest, for words, exponents and three residuals."""
-    return f"""{in_tile(d)}, wc AS (SELECT tensor, tile, w, count(*) AS n FROM g GROUP BY tensor, tile, w),
-mo AS (SELECT tensor, tile, {d.argmin('w', '-n', 'w')} AS mode FROM wc GROUP BY tensor, tile),
-sy AS (SELECT tensor, tile, 'word' AS kind, w AS sym FROM g UNION ALL SELECT tensor, tile, 'exponent', e FROM g UNION ALL SELECT tensor, tile, 'prev_value', {d.xor('w', 'p')} FROM g UNION ALL SELECT tensor, tile, 'prev_row', {d.xor('w', 'u')} FROM g UNION ALL SELECT g.tensor, g.tile, 'const_pred', {d.xor('g.w', 'mo.mode')} FROM g JOIN mo ON g.tensor = mo.tensor AND g.tile = mo.tile),
+    """CTE bodies: n, distinct symbols and how many differ from the commonest, for words, exponents and residuals, in
+    one scan. XOR with a constant renames words, so const_pred has the numbers of the words themselves."""
+    symbols = {"word": "w", "exponent": "e", "prev_value": d.xor("w", "p"), "prev_row": d.xor("w", "u")}
+    stack = d.stacked("g", ["tensor", "tile"], [(f"'{n}'", long(x)) for n, x in symbols.items()], ["kind", "sym"])
+    return f"""{in_tile(d)}, sy AS ({stack}),
 sc AS (SELECT tensor, tile, kind, sym, count(*) AS n FROM sy GROUP BY tensor, tile, kind, sym),
 sh AS (SELECT tensor, tile, kind, sum(n) AS n, count(*) AS k, sum(n) - max(n) AS x FROM sc GROUP BY tensor, tile, kind)"""
 
@@ -52,9 +53,10 @@ def prices(d):
         ("components", "exponent", f"5 + n + CASE WHEN k > 1 AND k <= 16 THEN 2 + k + {ceil8(f'n * {bits}')} ELSE n END", f"5 + n + CASE WHEN k > 1 AND k <= 16 THEN 2 + k + {ceil8(f'n * {bits}')} ELSE n END < 2 * n"),
         ("prev_value", "prev_value", res, "TRUE"),
         ("prev_row", "prev_row", res, "TRUE"),
-        ("const_pred", "const_pred", f"2 + {res}", "TRUE"),
+        ("const_pred", "word", f"2 + {res}", "TRUE"),
     ]
-    return " UNION ALL ".join(f"SELECT tensor, tile, n, {MODES[m]} AS mode_id, '{m}' AS mode_name, {HEADER} + {cost} AS bytes FROM sh WHERE kind = '{kind}' AND {when}" for m, kind, cost, when in rows)
+    priced = d.stacked("sh", ["tensor", "tile", "n"], [(long(MODES[m]), f"'{m}'", long(f"CASE WHEN kind = '{kind}' AND {when} THEN {HEADER} + {cost} END")) for m, kind, cost, when in rows], ["mode_id", "mode_name", "bytes"])
+    return f"SELECT * FROM ({priced}) pp WHERE bytes IS NOT NULL"
 
 
 def chosen(d):
@@ -63,7 +65,7 @@ def chosen(d):
 
 @definition("words")
 def residual_pack_cost(d):
-    return f"{shapes(d)}", f"SELECT tensor, tile, kind, {long(residual_cost(d))} AS bytes, {long('k')} AS distinct_symbols, {long('x')} AS exceptions FROM sh WHERE kind IN ('prev_value', 'prev_row', 'const_pred')"
+    return f"{shapes(d)}", f"SELECT tensor, tile, CASE WHEN kind = 'word' THEN 'const_pred' ELSE kind END AS kind, {long(residual_cost(d))} AS bytes, {long('k')} AS distinct_symbols, {long('x')} AS exceptions FROM sh WHERE kind <> 'exponent'"
 
 
 @definition("words")
@@ -111,7 +113,7 @@ def qualification_summary(d):
 def block_size_choice(d):
     """Raw against components at blocks of 64, 256 and 1024 words: the cheapest block of each tensor."""
     packed = d.div(f"n * ({bits_needed(d, 'k')}) + 7", 8)
-    parts = " UNION ALL ".join(f"SELECT tensor, {rows * 64} AS block, {d.div('r', rows)} AS tile, e FROM f" for rows in (1, 4, 16))
+    parts = d.stacked("f", ["tensor", "e"], [(long(rows * 64), long(d.div("r", rows))) for rows in (1, 4, 16)], ["block", "tile"])
     k = f"f AS (SELECT tensor, r, {d.shr('w', 7)} & 255 AS e FROM words), b AS ({parts}), s AS (SELECT tensor, block, tile, count(*) AS n, count(DISTINCT e) AS k FROM b GROUP BY tensor, block, tile)"
     cost = f"{HEADER} + least(2 * n, 5 + n + CASE WHEN k > 1 AND k <= 16 THEN 2 + k + {packed} ELSE n END)"
     t = f"t AS (SELECT tensor, block, sum({cost}) AS bytes FROM s GROUP BY tensor, block)"

@@ -158,7 +158,7 @@ def keep_k(d, k):
 
 @definition("words")
 def keep_k_ladder(d):
-    parts = " UNION ALL ".join(f"SELECT tensor, {k} AS keep, w, {keep_k(d, k)} AS kept FROM f" for k in range(1, 7))
+    parts = d.stacked("f", ["tensor", "w"], [(long(k), long(keep_k(d, k))) for k in range(1, 7)], ["keep", "kept"])
     return f"f AS (SELECT tensor, w, {fields(d)} FROM words), k AS ({parts})", f"SELECT tensor, {long('keep')} AS keep, {long('sum(CASE WHEN w <> kept THEN 1 ELSE 0 END)')} AS changed, {long('sum(abs(w - kept))')} AS moved, {long('count(DISTINCT kept)')} AS distinct_words, {long('sum(kept)')} AS total FROM k GROUP BY tensor, keep"
 
 
@@ -203,6 +203,9 @@ def tile_origins(d):
     return t, f"SELECT tensor, {long('tr * 8 + tc')} AS tile_index, {long('min(tr) * 8')} AS row0, {long('min(tc) * 8')} AS col0, {long('count(*)')} AS n, {long('sum(w)')} AS word_sum FROM t GROUP BY tensor, tr, tc"
 
 
+TRAVERSALS = ("row", "row_serp", "col", "col_serp")
+
+
 def traversal(name):
     """Order keys within 8 x 8 tiles."""
     return {"row": "y * 8 + x", "row_serp": "y * 8 + CASE WHEN y % 2 = 0 THEN x ELSE 7 - x END", "col": "x * 8 + y", "col_serp": "x * 8 + CASE WHEN x % 2 = 0 THEN y ELSE 7 - y END"}[name]
@@ -210,7 +213,7 @@ def traversal(name):
 
 @definition("words")
 def traversals(d):
-    parts = " UNION ALL ".join(f"SELECT tensor, t, '{n}' AS traversal, w, {traversal(n)} AS o FROM g" for n in ("row", "row_serp", "col", "col_serp"))
+    parts = d.stacked("g", ["tensor", "t", "w"], [(f"'{n}'", long(traversal(n))) for n in TRAVERSALS], ["traversal", "o"])
     g = f"g AS (SELECT tensor, {d.div('r', 8)} * 8 + {d.div('c', 8)} AS t, r % 8 AS y, c % 8 AS x, w & 127 AS w FROM words WHERE r < {d.div('50', 8)} * 8), a AS ({parts})"
     s = "s AS (SELECT tensor, traversal, w, lag(w) OVER (PARTITION BY tensor, t, traversal ORDER BY o) AS p FROM a)"
     return f"{g}, {s}", f"SELECT tensor, traversal, {long('sum(CASE WHEN w = p THEN 1 ELSE 0 END)')} AS repeats, {long('sum(abs(w - p))')} AS movement FROM s GROUP BY tensor, traversal"

@@ -12,10 +12,10 @@ def entropy(n, total):
     return f"-({n} * 1.0 / {total}) * log2({n} * 1.0 / {total})"
 
 
-def entropies(source, symbols, keys="tensor"):
+def entropies(d, source, symbols, keys="tensor"):
     """CTE body: entropy, distinct symbols, largest count and total of each named symbol column, by keys. Each symbol
     is counted with partial aggregation; totals come from the counts, not from another pass."""
-    parts = " UNION ALL ".join(f"SELECT {keys}, '{name}' AS field, {x} AS sym FROM {source}" for name, x in symbols.items())
+    parts = d.stacked(source, keys.split(", "), [(f"'{name}'", long(x)) for name, x in symbols.items()], ["field", "sym"])
     return f"""en_s AS ({parts}), en_c AS (SELECT {keys}, field, sym, count(*) AS n FROM en_s GROUP BY {keys}, field, sym),
 en_t AS (SELECT {keys}, field, sym, n, sum(n) OVER (PARTITION BY {keys}, field) AS total FROM en_c),
 en AS (SELECT {keys}, field, sum({entropy('n', 'total')}) AS h, count(*) AS k, max(n) AS top, max(total) AS total FROM en_t GROUP BY {keys}, field)"""
@@ -23,18 +23,18 @@ en AS (SELECT {keys}, field, sum({entropy('n', 'total')}) AS h, count(*) AS k, m
 
 @definition("words")
 def field_entropy(d):
-    return f"f AS (SELECT tensor, w, {fields(d)} FROM words), {entropies('f', {'word': 'w', 'sign': 's', 'exponent': 'e', 'mantissa': 'm'})}", f"SELECT tensor, field, {six('h')} AS bits, {long('k')} AS distinct_symbols, {six('top * 1.0 / total')} AS top1 FROM en"
+    return f"f AS (SELECT tensor, w, {fields(d)} FROM words), {entropies(d, 'f', {'word': 'w', 'sign': 's', 'exponent': 'e', 'mantissa': 'm'})}", f"SELECT tensor, field, {six('h')} AS bits, {long('k')} AS distinct_symbols, {six('top * 1.0 / total')} AS top1 FROM en"
 
 
 @definition("words")
 def residual_entropy(d):
-    x = f"x AS (SELECT tensor, {d.xor('w', 'coalesce(prev_w, 0)')} AS pv, {d.xor('w', 'coalesce(up_w, 0)')} AS pr FROM words), {entropies('x', {'prev_value': 'pv', 'prev_row': 'pr'})}"
+    x = f"x AS (SELECT tensor, {d.xor('w', 'coalesce(prev_w, 0)')} AS pv, {d.xor('w', 'coalesce(up_w, 0)')} AS pr FROM words), {entropies(d, 'x', {'prev_value': 'pv', 'prev_row': 'pr'})}"
     return x, f"SELECT tensor, field, {six('h')} AS bits, {long('k')} AS distinct_symbols FROM en"
 
 
 @definition("words")
 def high_entropy(d):
-    x = f"x AS (SELECT tensor, w, {d.xor('w', 'coalesce(prev_w, 0)')} AS pv FROM words), {entropies('x', {'word': 'w', 'residual': 'pv'})}"
+    x = f"x AS (SELECT tensor, w, {d.xor('w', 'coalesce(prev_w, 0)')} AS pv FROM words), {entropies(d, 'x', {'word': 'w', 'residual': 'pv'})}"
     return x, f"SELECT tensor, min(CASE WHEN field = 'word' THEN h END) >= 15.5 AND min(CASE WHEN field = 'residual' THEN h END) >= 15.0 AS high FROM en GROUP BY tensor"
 
 
@@ -64,13 +64,13 @@ def pair(d, keep=4):
 
 @definition("words")
 def xor_stats(d):
-    x = f"{pair(d)}, x AS (SELECT tensor, base, target, {d.xor('base', 'target')} AS res FROM p), {entropies('x', {'word': 'res', 'exponent': d.shr('res', 7) + ' & 255', 'mantissa': 'res & 127'})}, t AS (SELECT tensor, count(*) AS n, sum(CASE WHEN res = 0 THEN 1 ELSE 0 END) AS same, avg({d.pop('res')}) AS ones FROM x GROUP BY tensor)"
+    x = f"{pair(d)}, x AS (SELECT tensor, base, target, {d.xor('base', 'target')} AS res FROM p), {entropies(d, 'x', {'word': 'res', 'exponent': d.shr('res', 7) + ' & 255', 'mantissa': 'res & 127'})}, t AS (SELECT tensor, count(*) AS n, sum(CASE WHEN res = 0 THEN 1 ELSE 0 END) AS same, avg({d.pop('res')}) AS ones FROM x GROUP BY tensor)"
     return x, f"SELECT t.tensor, en.field, {long('t.same')} AS unchanged, {six('t.ones')} AS hamming, {six('en.h')} AS bits FROM t JOIN en ON t.tensor = en.tensor"
 
 
 @definition("words")
 def weighted_means(d):
-    x = f"f AS (SELECT tensor, {fields(d)} FROM words), {entropies('f', {'exponent': 'e', 'mantissa': 'm'})}"
+    x = f"f AS (SELECT tensor, {fields(d)} FROM words), {entropies(d, 'f', {'exponent': 'e', 'mantissa': 'm'})}"
     return x, f"SELECT field, {six('sum(h * total) / sum(total)')} AS bits, {long('sum(total)')} AS n FROM en GROUP BY field"
 
 
@@ -91,7 +91,7 @@ def cross_tensor_duplicates(d):
 @definition("words")
 def spatial_win(d):
     """Share of 4 x 64 tiles whose exponents cost fewer ideal bits after XOR with the word above."""
-    x = f"x AS (SELECT tensor, {d.div('r', 4)} AS tile, {d.shr('w', 7)} & 255 AS e, CASE WHEN r % 4 = 0 THEN {d.shr('w', 7)} & 255 ELSE {d.xor(d.shr('w', 7) + ' & 255', d.shr('up_w', 7) + ' & 255')} END AS res FROM words), {entropies('x', {'plain': 'e', 'spatial': 'res'}, 'tensor, tile')}"
+    x = f"x AS (SELECT tensor, {d.div('r', 4)} AS tile, {d.shr('w', 7)} & 255 AS e, CASE WHEN r % 4 = 0 THEN {d.shr('w', 7)} & 255 ELSE {d.xor(d.shr('w', 7) + ' & 255', d.shr('up_w', 7) + ' & 255')} END AS res FROM words), {entropies(d, 'x', {'plain': 'e', 'spatial': 'res'}, 'tensor, tile')}"
     y = "y AS (SELECT tensor, tile, max(CASE WHEN field = 'plain' THEN h END) AS a, max(CASE WHEN field = 'spatial' THEN h END) AS b FROM en GROUP BY tensor, tile)"
     return f"{x}, {y}", f"SELECT tensor, {long('count(*)')} AS tiles, {six('avg(CASE WHEN round(b, 9) < round(a, 9) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)')} AS win_share, {six('avg(a - b)')} AS mean_gain FROM y GROUP BY tensor"
 
@@ -132,7 +132,7 @@ held_out("holdout_hashed_context", "((coalesce(pm, 0) * 131 + e) & 511)")
 @definition("words")
 def method_ranking(d):
     models = {"global": "0", "exponent": "e", "sign_exponent": "s * 256 + e"}
-    train = " UNION ALL ".join(f"SELECT '{n}' AS model, {x} AS ctx, m AS y, held FROM f" for n, x in models.items())
+    train = d.stacked("f", ["m AS y", "held"], [(f"'{n}'", long(x)) for n, x in models.items()], ["model", "ctx"]).replace("SELECT m AS y, held, st", "SELECT y, held, st")
     a = f"{split(d)}, a AS ({train}), c2 AS (SELECT model, ctx, y, count(*) AS n FROM a WHERE NOT held GROUP BY model, ctx, y), c1 AS (SELECT model, ctx, sum(n) AS n FROM c2 GROUP BY model, ctx), q2 AS (SELECT model, ctx, y, count(*) AS n FROM a WHERE held GROUP BY model, ctx, y)"
     b = "b AS (SELECT q2.model, sum(q2.n * -log2((coalesce(c2.n, 0) + 1.0) / (coalesce(c1.n, 0) + 128))) / sum(q2.n) AS bits FROM q2 LEFT JOIN c2 ON q2.model = c2.model AND q2.ctx = c2.ctx AND q2.y = c2.y LEFT JOIN c1 ON q2.model = c1.model AND q2.ctx = c1.ctx GROUP BY q2.model)"
     return f"{a}, {b}", f"SELECT model, {six('bits')} AS bits, {long('rank() OVER (ORDER BY bits)')} AS place FROM b"
@@ -141,7 +141,7 @@ def method_ranking(d):
 @definition("words")
 def bit_markov_nll(d):
     """Bits of the mantissa by plane, given the two higher bits: Krichevsky-Trofimov estimates."""
-    parts = " UNION ALL ".join(f"SELECT held, {b} AS plane, {d.shr('m', b)} & 1 AS bit, {d.shr('m', b + 1)} & 3 AS ctx FROM f" for b in range(6, -1, -1))
+    parts = d.stacked("f", ["held"], [(long(b), long(f"{d.shr('m', b)} & 1"), long(f"{d.shr('m', b + 1)} & 3")) for b in range(6, -1, -1)], ["plane", "bit", "ctx"])
     k = f"{split(d)}, a AS ({parts}), t AS (SELECT plane, ctx, sum(bit) AS ones, count(*) AS n FROM a WHERE NOT held GROUP BY plane, ctx), q AS (SELECT plane, ctx, bit, count(*) AS n FROM a WHERE held GROUP BY plane, ctx, bit)"
     p1 = "(coalesce(t.ones, 0) + 0.5) / (coalesce(t.n, 0) + 1.0)"
     return k, f"SELECT {long('q.plane')} AS plane, {six(f'sum(q.n * -log2(CASE WHEN q.bit = 1 THEN {p1} ELSE 1 - {p1} END)) / sum(q.n)')} AS bits FROM q LEFT JOIN t ON q.plane = t.plane AND q.ctx = t.ctx GROUP BY q.plane"
@@ -151,7 +151,7 @@ def bit_markov_nll(d):
 def context_rule_hits(d):
     f = f"f AS (SELECT tensor, {d.shr('w', 7)} & 127 AS e, w & 127 AS m, coalesce(prev_w, 0) & 127 AS p, (r * 64 + c) % 256 AS pos FROM words)"
     rules = {"copy": "p", "position": "pos & 127", "next": "(p + 1) & 127", "exponent": "e", "mixed": f"{d.xor(d.xor('p', 'e'), 'pos')} & 127", "mean": f"{d.shr('(p + e)', 1)} & 127"}
-    parts = " UNION ALL ".join(f"SELECT tensor, {i} AS rule, CASE WHEN ({x}) = m THEN 1 ELSE 0 END AS hit FROM f" for i, x in enumerate(rules.values()))
+    parts = d.stacked("f", ["tensor"], [(long(i), long(f"CASE WHEN ({x}) = m THEN 1 ELSE 0 END")) for i, x in enumerate(rules.values())], ["rule", "hit"])
     return f"{f}, a AS ({parts}), s AS (SELECT tensor, rule, sum(hit) AS hits, count(*) AS n FROM a GROUP BY tensor, rule)", f"SELECT tensor, {long(d.argmin('rule', '-hits', 'rule'))} AS rule, {long('max(hits)')} AS hits, {long('max(n)')} AS n FROM s GROUP BY tensor"
 
 
@@ -159,7 +159,7 @@ def context_rule_hits(d):
 def quality_ladder(d):
     """Error of keeping k mantissa bits, by tensor, from word differences of equal sign and near exponents."""
     v = lambda w: f"((1 - 2 * {d.shr(w, 15)}) * (128 + ({w} & 127)) * POWER(2.0, ({d.shr(w, 7)} & 255) - 134))"
-    parts = " UNION ALL ".join(f"SELECT tensor, {k} AS keep, w, {keep_k(d, k)} AS kept FROM f" for k in (2, 4, 6))
+    parts = d.stacked("f", ["tensor", "w"], [(long(k), long(keep_k(d, k))) for k in (2, 4, 6)], ["keep", "kept"])
     return f"f AS (SELECT tensor, w, {fields(d)} FROM words), k AS ({parts}), v AS (SELECT tensor, keep, {v('w')} AS a, {v('kept')} AS b FROM k)", f"SELECT tensor, {long('keep')} AS keep, {six('max(abs(a - b))')} AS max_abs, {six('avg(abs(a - b))')} AS mae, {six('10 * log10(sum(a * a) / sum((a - b) * (a - b)))')} AS sqnr FROM v GROUP BY tensor, keep"
 
 
@@ -202,14 +202,14 @@ def bytes_saved(d):
 @definition("words")
 def kept_entropy(d):
     parts = ", ".join(f"{d.shr('m', 7 - k)} AS k{k}" for k in (2, 3, 4, 5, 6))
-    return f"f AS (SELECT tensor, w & 127 AS m FROM words), g AS (SELECT tensor, {parts} FROM f), {entropies('g', {f'keep_{k}': f'k{k}' for k in (2, 3, 4, 5, 6)})}", f"SELECT tensor, field, {six('h')} AS bits FROM en"
+    return f"f AS (SELECT tensor, w & 127 AS m FROM words), g AS (SELECT tensor, {parts} FROM f), {entropies(d, 'g', {f'keep_{k}': f'k{k}' for k in (2, 3, 4, 5, 6)})}", f"SELECT tensor, field, {six('h')} AS bits FROM en"
 
 
 @definition("words")
 def entropy_bounds(d):
     """Complete bytes if exponents cost their entropy and the rest a byte."""
     exponent = "max(CASE WHEN field = 'exponent' THEN h * total / 8 + total END)"
-    return f"f AS (SELECT tensor, w, {fields(d)}, {d.shr('w', 15)} * 128 + (w & 127) AS sm FROM words), {entropies('f', {'exponent': 'e', 'sign_mantissa': 'sm'})}", f"SELECT tensor, {six('sum(h * total) / 8')} AS ideal_bytes, {six('sum(h)')} AS ideal_bpw, {six(exponent)} AS exponent_bytes FROM en GROUP BY tensor"
+    return f"f AS (SELECT tensor, w, {fields(d)}, {d.shr('w', 15)} * 128 + (w & 127) AS sm FROM words), {entropies(d, 'f', {'exponent': 'e', 'sign_mantissa': 'sm'})}", f"SELECT tensor, {six('sum(h * total) / 8')} AS ideal_bytes, {six('sum(h)')} AS ideal_bpw, {six(exponent)} AS exponent_bytes FROM en GROUP BY tensor"
 
 
 @definition("documents", "benchmark")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordloom.operators.fields import fields, keep_k, traversal
+from wordloom.operators.fields import TRAVERSALS, fields, keep_k, traversal
 from wordloom.plans.dialect import definition, long, six
 
 RASTER = "PARTITION BY tensor ORDER BY r, c"
@@ -68,7 +68,7 @@ def paeth_residuals(d):
 
 @definition("words")
 def best_geometry(d):
-    parts = " UNION ALL ".join(f"SELECT tensor, tile, {i} AS pred, {d.xor('v', f'({p})')} AS res FROM g" for i, p in enumerate(predictors(d).values()))
+    parts = d.stacked("g", ["tensor", "tile"], [(long(i), long(d.xor("v", f"({p})"))) for i, p in enumerate(predictors(d).values())], ["pred", "res"])
     s = "s AS (SELECT tensor, tile, pred, sum(CASE WHEN res = 0 THEN 1 ELSE 0 END) AS zeros, count(DISTINCT res) AS distinct_res FROM a GROUP BY tensor, tile, pred)"
     return f"{neighbours(d, 5)}, a AS ({parts}), {s}", f"SELECT tensor, tile, {long(d.argmin('pred', '-zeros', 'distinct_res', 'pred'))} AS pred, {long('max(zeros)')} AS zeros FROM s GROUP BY tensor, tile"
 
@@ -84,7 +84,7 @@ def run_lengths(d):
 @definition("words")
 def traversal_previous(d):
     """XOR with the word before in each traversal of 8 x 8 tiles."""
-    parts = " UNION ALL ".join(f"SELECT tensor, t, '{n}' AS traversal, w, {traversal(n)} AS o FROM g" for n in ("row", "row_serp", "col", "col_serp"))
+    parts = d.stacked("g", ["tensor", "t", "w"], [(f"'{n}'", long(traversal(n))) for n in TRAVERSALS], ["traversal", "o"])
     g = f"g AS (SELECT tensor, {d.div('r', 8)} * 8 + {d.div('c', 8)} AS t, r % 8 AS y, c % 8 AS x, w FROM words), a AS ({parts}), s AS (SELECT tensor, traversal, {d.xor('w', 'coalesce(lag(w) OVER (PARTITION BY tensor, t, traversal ORDER BY o), 0)')} AS res FROM a)"
     ones = d.pop("res")
     return g, f"SELECT tensor, traversal, {long(f'sum({ones})')} AS ones, {long('sum(CASE WHEN res < 128 THEN 1 ELSE 0 END)')} AS small FROM s GROUP BY tensor, traversal"

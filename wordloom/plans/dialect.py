@@ -93,6 +93,11 @@ class Spark:
     def xor_prefix(self, x, window):
         return f"bit_xor({x}) OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
+    def stacked(self, source, keys, rows, names):
+        """Each row of the source once for each of `rows` (tuples of expressions, named `names`): one scan for all."""
+        items = ", ".join("struct(" + ", ".join(f"{x} AS {n}" for x, n in zip(r, names, strict=True)) + ")" for r in rows)
+        return f"SELECT {', '.join(keys)}, {', '.join(f'st.{n} AS {n}' for n in names)} FROM (SELECT {', '.join(keys)}, explode(array({items})) AS st FROM {source}) zz"
+
     def hash_order(self, x, seed):
         return f"((({x}) * 2654435761 + {seed}) % 4294967291)"
 
@@ -153,6 +158,11 @@ class Duck(Spark):
         return f"quantile_cont({x}, 0.5)"
 
 
+    def stacked(self, source, keys, rows, names):
+        items = ", ".join("struct_pack(" + ", ".join(f"{n} := {x}" for x, n in zip(r, names, strict=True)) + ")" for r in rows)
+        return f"SELECT {', '.join(keys)}, {', '.join(f'st.{n} AS {n}' for n in names)} FROM (SELECT {', '.join(keys)}, unnest([{items}]) AS st FROM {source}) zz"
+
+
 SPARK, DUCK = Spark(), Duck()
 
 #: Base relations in DuckDB. words: one row a word, with its raster, left, upper and upper-left neighbours (null if none).
