@@ -7,12 +7,12 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.operators import codecs, costs, fields, quant, stats, windows  # noqa: F401  these register their definitions
+from wordloom.operators import codecs, costs, fields, quant, solvers, stats, windows  # noqa: F401  these register their definitions
 from wordloom.plans import dialect
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(dialect.run, name) for name in dialect.DEFINITIONS} | codecs.QUERIES
+    return {name: partial(dialect.run, name) for name in dialect.DEFINITIONS} | codecs.QUERIES | solvers.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
