@@ -7,13 +7,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.operators import codecs, costs, fields, quant, solvers, stats, windows  # noqa: F401  these register their definitions
+from wordloom.operators import archive, codecs, costs, fields, quant, solvers, stats, windows  # noqa: F401  these register their definitions
 from wordloom.plans import dialect
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(dialect.run, name) for name in dialect.DEFINITIONS} | codecs.QUERIES | solvers.QUERIES
+    return {name: partial(dialect.run, name) for name in dialect.DEFINITIONS} | codecs.QUERIES | solvers.QUERIES | archive.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: dialect.render(name, dialect.DUCK) for name in dialect.DEFINITIONS} | codecs.ORACLES
+    return {name: dialect.render(name, dialect.DUCK) for name in dialect.DEFINITIONS} | codecs.ORACLES | {"archive_roundtrip": codecs.ORACLES["rans_roundtrip"], "archive_sizes": dialect.render("codec_argmin", dialect.DUCK)}
