@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,10 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/wordloom-{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove all that `stored` has written in this application; frames that read it are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df below the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wordloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -64,12 +74,7 @@ def merged(df: DataFrame, key: str, part: str, value_names: list[str], merge: Ca
         return pa.table({key: pa.array([rows[key][0]], pa.int64()), part: pa.array([rows[part][0] // FAN_IN], pa.int64())} | {n: pa.array([v], pa.binary()) for n, v in zip(value_names, got, strict=True)})
 
     df = df.select(key, part, *value_names)
-    while True:
+    while parts > FAN_IN:
         df = df.groupBy(key, F.floor(F.col(part) / FAN_IN).cast("long").alias("wl_group")).applyInArrow(lambda t: step(t), schema)
         parts = -(-parts // FAN_IN)
-        if parts <= 1:
-            return df.select(key, *value_names)
-
-
-def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in it if b.num_rows)
+    return df.groupBy(key).applyInArrow(step, schema).select(key, *value_names)
