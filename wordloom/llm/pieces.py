@@ -103,7 +103,7 @@ class Vocabulary:
 class Encoder:
     """Texts to ids, with a memo of words. Keys: a word without its mark, or a line end and what follows it."""
 
-    def __init__(self, path: str, entries: int = 1 << 20, longest: int = 48):
+    def __init__(self, path: str, entries: int = 1 << 19, longest: int = 48):
         self.vocabulary, self.entries, self.longest = Vocabulary(path), entries, longest
         self.memo: dict[str, bytes] = {}
 
