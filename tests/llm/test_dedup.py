@@ -41,6 +41,17 @@ def test_a_full_filter_changes_nothing(documents, monkeypatch):
     assert sorted(map(tuple, bloom_dedup.decisions(documents).collect())) == want
 
 
+def test_merge_trees_lose_nothing(spark, monkeypatch):
+    from wordloom.llm import common
+
+    monkeypatch.setattr(common, "FAN_IN", 3)
+    rows = [(k, p, bytes([k + 1, p])) for k in range(4) for p in range(11) if (k + p) % 3]
+    df = spark.createDataFrame(rows, "piece long, part long, value binary")
+    for parts in (1, 3, 11):  # right even if the number of parts was too low
+        got = {r.piece: bytes(r.value) for r in common.merged(df, "piece", "part", ["value"], lambda own: (bytes(x & 255 for x in map(sum, zip(*(v for (v,) in own), strict=True))),), parts).collect()}
+        assert got == {k: bytes(x & 255 for x in map(sum, zip(*(v for key, _, v in rows if key == k), strict=True))) for k in range(4)}
+
+
 def slow_fingerprint(text, size):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:

@@ -48,3 +48,18 @@ def test_run_and_names(spark, data):
     assert "pipeline" in entry.queries()
     numbers = sorted(int(n[2:].split("_")[0]) for n in entry.queries() if re.match(r"op\d+_", n))
     assert numbers == list(range(1, 11))
+
+
+def test_stages_on_odd_rows_and_none(spark, odd, nothing, data):
+    import corpus_pipeline
+
+    from wordloom.llm.common import stored
+
+    for docs in (odd, nothing):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stored(stage(spark, docs, data), "stage")
+            if name != "packing":
+                assert out.columns == docs.columns, name
+            assert out.count() <= docs.count() or name == "packing"
+            if name == "personal data":
+                assert out.count() == docs.count()

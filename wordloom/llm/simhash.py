@@ -203,7 +203,7 @@ def signature(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: of texts that are linked by similarity, those with the smallest id
-    (a null id before all others)."""
+    (a null id before all others). Rows of one id share its fate: if one of them stays, all do."""
     prepare(docs.sparkSession)
     names = docs.columns
 
@@ -221,7 +221,6 @@ def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     roots = components(links(nodes.select("node", "fps", "sketch"), 4, AGREE))
     placed = nodes.select("node", "low").join(roots.hint("merge"), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     best = placed.groupBy("root").agg(F.min(F.struct("low", "node")).alias("best")).select("best.low.doc_id", "best.node")
-    # the text's node is not kept with the text: rows are told by id and hash of text
     told = prints.select("doc_id", "node").join(best.select(F.col("doc_id").alias("wl_id"), F.col("node")).hint("merge"), "node").filter(F.col("doc_id").eqNullSafe(F.col("wl_id"))).select(F.col("doc_id").alias("wl_id")).distinct()
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("wl_row"), F.col(doc_id).cast("long").alias("wl_key"))
     return whole.join(told, F.col("wl_key").eqNullSafe(F.col("wl_id")), "left_semi").select("wl_row.*")
