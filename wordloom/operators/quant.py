@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from wordloom.operators.fields import fields, keep_k, names
 from wordloom.plans.dialect import definition, long, six
 
+# Parts of names, in order of preference.
+PREFERRED = "(1, 'q_proj'), (2, 'down_proj'), (3, 'embed'), (4, 'conv')"
+
 
 def groups(d):
     return f"g AS (SELECT tensor, r, c, {d.div('c', 32)} AS g, x FROM words), a AS (SELECT tensor, r, g, max(abs(x)) AS top, min(x) AS low, max(x) AS high FROM g GROUP BY tensor, r, g)"
@@ -96,3 +100,26 @@ def utility_ranking(d):
     """Bytes saved over the error that dropping two mantissa bits adds, by tensor."""
     u = "u AS (SELECT tensor, count(*) * 2 / 8.0 AS saved, round(sum(x * x) / 4096, 9) AS harm FROM words GROUP BY tensor)"
     return u, f"SELECT tensor, {six('saved / harm')} AS utility, {long('row_number() OVER (ORDER BY saved / harm DESC, tensor)')} AS place FROM u"
+
+
+@definition("words")
+def row_keep_map(d):
+    """Rows keep six, four or three mantissa bits by the rank of their norm; words after that, and bytes saved."""
+    n = f"n AS (SELECT tensor, r, round(sum(x * x), 9) AS q FROM words GROUP BY tensor, r), k AS (SELECT tensor, r, row_number() OVER (PARTITION BY tensor ORDER BY q DESC, r) AS k, count(*) OVER (PARTITION BY tensor) AS n FROM n), m AS (SELECT tensor, r, CASE WHEN 10 * k <= n THEN 6 WHEN 2 * k <= n THEN 4 ELSE 3 END AS keep FROM k)"
+    f = f"f AS (SELECT w.tensor, m.keep, w.w, {fields(d, 'w.w')} FROM words w JOIN m ON w.tensor = m.tensor AND w.r = m.r)"
+    kept = f"CASE keep WHEN 6 THEN {keep_k(d, 6)} WHEN 4 THEN {keep_k(d, 4)} ELSE {keep_k(d, 3)} END"
+    return f"{n}, {f}", f"SELECT tensor, {long('keep')} AS keep, {long('count(*)')} AS n_words, {long(f'sum({kept})')} AS word_sum, {six('sum(7 - keep) / 8.0')} AS saved_bytes FROM f GROUP BY tensor, keep"
+
+
+@definition("words")
+def tile_scatter(d):
+    """Words gathered into 8 x 8 tiles by place in the tile, and scattered back to where they stood."""
+    g = f"g AS (SELECT tensor, {d.div('r', 8)} * 8 + {d.div('c', 8)} AS tile, (r % 8) * 8 + c % 8 AS place, w FROM words), b AS (SELECT tensor, {d.div('tile', 8)} * 8 + {d.div('place', 8)} AS r, tile % 8 * 8 + place % 8 AS c, w FROM g)"
+    return g, f"SELECT a.tensor, {long('count(*)')} AS n_words, {long('sum(CASE WHEN a.w <> b.w THEN 1 ELSE 0 END)')} AS differing FROM words a JOIN b ON a.tensor = b.tensor AND a.r = b.r AND a.c = b.c GROUP BY a.tensor"
+
+
+@definition()
+def preferred_tensors(d):
+    """The first name of each preferred kind, or the first of all where a kind has none."""
+    p = f"p AS {d.values(PREFERRED, 'place', 'part')}, n AS (SELECT name FROM {names(d)} z), k AS (SELECT p.place, p.part, n.name, row_number() OVER (PARTITION BY p.place ORDER BY CASE WHEN n.name LIKE concat('%', p.part, '%') THEN 0 ELSE 1 END, n.name) AS nth FROM p CROSS JOIN n)"
+    return p, f"SELECT {long('place')} AS place, part, name FROM k WHERE nth = 1"

@@ -238,3 +238,19 @@ def coherence(d):
 def column_tensor_stats(d):
     """A numeric column as a one-dimensional tensor."""
     return "", f"SELECT l_returnflag, {long('count(*)')} AS n, {six('avg(l_quantity)')} AS mean, {long('count(DISTINCT l_quantity)')} AS distinct_values FROM lineitem GROUP BY l_returnflag"
+
+
+@definition("words")
+def mixture_accounting(d):
+    """For each tensor the cheaper of two exponent models, and what the choices cost together."""
+    rows = [("'plain'", long("0")), ("'after_left'", long("coalesce(pe, 0)"))]
+    a = f"f AS (SELECT tensor, {d.shr('w', 7)} & 255 AS e, {d.shr('left_w', 7)} & 255 AS pe FROM words), a AS ({d.stacked('f', ['tensor', 'e'], rows, ['model', 'ctx'])})"
+    c = "c AS (SELECT tensor, model, ctx, e, count(*) AS n FROM a GROUP BY tensor, model, ctx, e), t AS (SELECT tensor, model, ctx, e, n, sum(n) OVER (PARTITION BY tensor, model, ctx) AS total FROM c), b AS (SELECT tensor, model, sum(-n * log2(n * 1.0 / total)) + 16 * count(*) AS bits FROM t GROUP BY tensor, model)"
+    return f"{a}, {c}", f"SELECT tensor, {d.argmin('model', 'bits', 'model')} AS model, {six('min(bits) / 8')} AS bytes FROM b GROUP BY tensor"
+
+
+@definition("words")
+def coupling_tables(d):
+    """For each exponent, the exponent that most often stands to its right (the smaller of equals)."""
+    p = f"p AS (SELECT {d.shr('left_w', 7)} & 255 AS src, {d.shr('w', 7)} & 255 AS dst FROM words WHERE left_w IS NOT NULL), c AS (SELECT src, dst, count(*) AS n FROM p GROUP BY src, dst)"
+    return p, f"SELECT {long('src')} AS src, {long(d.argmin('dst', '-n', 'dst'))} AS dst, {long('max(n)')} AS n, {long('sum(n)')} AS total FROM c GROUP BY src"
