@@ -167,7 +167,9 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", refs: list[d
             (let(F.transform(w, F.lower), words_near) if refs else F.lit(True)).alias("words_near"),
         )
 
-    rows = rows.select("wl_row", "wl_lang", F.length(body).cast("long").alias("wl_chars"), let(_words(body), measured).alias("wl_m"), _marks(body).alias("wl_marks"))
+    measures = F.struct(F.length(body).cast("long").alias("wl_chars"), let(_words(body), measured).alias("wl_m"), _marks(body).alias("wl_marks"))
+    # by way of explode, so that a filter on what follows does not carry copies of all this down to the scan
+    rows = rows.select("wl_row", "wl_lang", F.explode(F.array(measures)).alias("wl_x")).select("wl_row", "wl_lang", "wl_x.*")
     rows = rows.select("wl_row", "wl_lang", "wl_chars", "wl_m.*", F.struct(*[c.cast("long").alias(k) for k, c in _counts(F.col("wl_marks"), F.col("wl_chars"), F.col("wl_m.word_chars")).items()]).alias("wl_n"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & F.col("words_near")
