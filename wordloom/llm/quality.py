@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import whole_text
+from wordloom.llm.common import stored, whole_text
 from wordloom.llm.spans import let
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -60,16 +60,23 @@ def _language(docs: DataFrame, lang: str) -> Column:
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[dict]:
     """Up to LANGUAGES references: lang, classes (shares), words (lower-case word to share of all words)."""
     rows = docs.select(_language(docs, lang).alias("lang"), whole_text(text).alias("text")).filter("lang <> ''")
-    rows = rows.select("lang", "text", _words(F.lower("text")).alias("words"))
-    chars = F.length("text")
-    found = _counts(_marks(F.col("text")), chars, F.length(F.array_join("words", "")))
-    sums = rows.groupBy("lang").agg(F.sum(chars).alias("chars"), F.sum(F.size("words")).alias("n"), *[F.sum(c).alias(k) for k, c in found.items()])
-    sums = sums.filter(F.col("n") >= REFERENCE_WORDS).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    out = {r.lang: {"lang": r.lang, "n": r.n, "classes": {c: r[c] / r.chars for c in CLASSES}, "words": {}} for r in sums}
-    counts = rows.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = rows.select("lang", F.explode(F.split(F.lower("text"), SPLIT)).alias("word")).filter("word <> ''")
+    counts = stored(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
+    # two passes over the texts: the words, of which totals are sums, and the marks
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    for r in counts.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= COMMON).filter(F.col("lang").isin(*out)).collect() if out else []:
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.length("word")).alias("in_words"))
+    totals = totals.filter(F.col("n") >= REFERENCE_WORDS).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not totals:
+        return []
+    out = {r.lang: {"lang": r.lang, "n": r.n, "in_words": r.in_words, "classes": {}, "words": {}} for r in totals}
+    for r in counts.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= COMMON).filter(F.col("lang").isin(*out)).collect():
         out[r.lang]["words"][r.word] = r.n / out[r.lang]["n"]
+    marks = rows.select("lang", F.length("text").alias("chars"), _marks(F.col("text")).alias("marks"))
+    marks = marks.select("lang", "chars", F.length("marks").alias("marks"), *[c.alias(k) for k, c in _counts(F.col("marks"), F.lit(0), F.lit(0)).items() if k in ("upper", "digit", "symbol")])
+    for r in marks.groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("chars", "marks", "upper", "digit", "symbol")]).filter(F.col("lang").isin(*out)).collect():
+        own = out[r.lang]
+        n = {"upper": r.upper, "digit": r.digit, "symbol": r.symbol, "space": r.chars - own["in_words"], "other": own["in_words"] - r.marks}
+        own["classes"] = {c: max(0, n[c]) / r.chars for c in CLASSES}
     return sorted(out.values(), key=lambda x: x["lang"])
 
 
