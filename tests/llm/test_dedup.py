@@ -115,6 +115,20 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, same.values()))
 
 
+def test_large_buckets_are_judged_by_the_sketch(spark, monkeypatch):
+    """Texts of the same long words in other orders share all finders, but not their shingles."""
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 8)) for _ in range(60)]
+    rows = []
+    for i in range(30):
+        words = list(rng.permutation(vocabulary))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, "of"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for small in (4096, 8):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        assert sorted(r.doc_id for r in simhash.kept_rows(df).collect()) == [2 * i for i in range(30)]
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 180)] + [(500, 500 + i) for i in range(1, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

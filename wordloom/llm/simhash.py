@@ -8,7 +8,9 @@ Only distinct fingerprints enter the tables. In a bucket of up to SMALL of them,
 spanning forest of the links leaves the task. Fingerprints of larger buckets are linked exactly in another way: two
 are within radius 4 if and only if some word is within 2 of both, and all that are within 2 of one word are within 4
 of one another; so each writes its 2081 words, and those that share a word are linked to the smallest. That work is
-in proportion to the fingerprints, however many share a bucket. Links then become components (graph.components).
+in proportion to the fingerprints, however many share a bucket. That holds for fingerprints alone: where a sketch judges
+the pairs too, members of a larger bucket are dealt into blocks instead, and each pair of blocks, of at most SMALL
+members or so, is compared like a small bucket. Links then become components (graph.components).
 
 Cases: null text counts as empty; a text without words has fingerprint zero and links like any other; fewer words
 than the shingle are one shingle; equal fingerprints are one component whatever their number; null ids come first
@@ -108,8 +110,7 @@ def _forest(fps: np.ndarray, sketches: list[np.ndarray], radius: int, agree: int
 
 def links(prints: DataFrame, radius: int, agree: int = 0) -> DataFrame:
     """prints (node, fps, sketch; stored, nodes distinct) to links (a, b) of nodes. Their components are those of all
-    pairs that are within the radius in one of fps and, if there are sketches, within `agree` in those together.
-    (Nodes of a bucket of over SMALL are linked by fps alone.)"""
+    pairs that are within the radius in one of fps and, if there are sketches, within `agree` in those together."""
     if radius % 2:
         raise ValueError("the radius is even here: buckets too large to compare are linked by words half way")
     first = prints.first()
@@ -145,7 +146,17 @@ def links(prints: DataFrame, radius: int, agree: int = 0) -> DataFrame:
                     x, y = _forest(flat[1][index], [f[index] for f in flat[2:]], radius, agree)
                     yield pa.record_batch([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
 
-    small = rows.filter(F.col("n") <= SMALL).groupBy("t", "bucket").agg(*[F.collect_list(v).alias(v) for v in values]).select(*values).mapInArrow(compare, "a long, b long")
+    def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.groupBy(*keys).agg(*[F.collect_list(v).alias(v) for v in values]).select(*values).mapInArrow(compare, "a long, b long")
+
+    small = compared(rows.filter(F.col("n") <= SMALL), ["t", "bucket"])
+    if parts:
+        # a block has 0.4 SMALL members on average, so that two of them seldom exceed SMALL
+        blocks = F.ceil(F.col("n") / (0.4 * SMALL)).cast("int")
+        dealt = rows.filter(F.col("n") > SMALL).withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")})
+        others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own"))
+        met = dealt.withColumn("other", F.explode(others)).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+        return small.unionByName(compared(met, ["t", "bucket", "x", "y"])).filter("a <> b").distinct()
     flips = np.array([0] + [sum(1 << i for i in c) for k in range(1, radius // 2 + 1) for c in combinations(range(64), k)], np.uint64)
 
     def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
