@@ -163,6 +163,25 @@ def test_near_copies_go_and_others_stay(spark, odd, nothing):
     assert 1 in left and 2 not in left and None in left and 6 in left and 7 in left
 
 
+def test_block_edits_and_short_words_are_candidates():
+    """Copies with a passage added or removed, at a similarity of 0.8 to 0.85, of long and of short words."""
+    rng = np.random.default_rng(6)
+    for sizes in ((3, 10), (1, 5)):
+        vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(*sizes))) for _ in range(4000)]
+        found = total = 0
+        for g in range(300):
+            words = list(rng.choice(vocabulary, 300))
+            copy = words + list(rng.choice(vocabulary, 60)) if g % 2 else words[:120] + words[170:]
+            a, b = " ".join(words), " ".join(copy)
+            if not 0.8 <= len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) <= 0.85:
+                continue
+            x, y = simhash.signature(a)[0], simhash.signature(b)[0]
+            near = np.bitwise_count(x ^ y)
+            found += bool((near[: simhash.FINDERS] <= 4).any() or (near[simhash.FINDERS :] == 0).any())
+            total += 1
+        assert total > 200 and found >= 0.9 * total
+
+
 def test_short_different_texts_stay(spark):
     df = spark.createDataFrame([(i, f"yes no {i}") for i in range(300)], "doc_id long, text string")
     assert simhash.kept_rows(df).count() == 300
