@@ -123,6 +123,15 @@ def test_weak_parts_need_their_complement(spark):
     assert {s.split(":")[0] for s in spans} == {"id", "secret", "endpoint"}
 
 
+def test_long_parts_are_found_whole(spark):
+    for key in ("aB3dE6gH9j" * 20, "A1" * 60 + "z" * 60, "A" * 60 + "z1"):
+        spans, text = added(spark, f"client_id = web7 then {key}")
+        assert [text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in spans] == ["client_id = web7", key]
+    for parts in (["AB12" * 15, "pwd=" + "x9!" * 100, "login: " + "bob." * 30], ["login: bob", "pwd=letmein99", "https://db.example/" + "x/" * 300], ["login: bob", "pwd=letmein99", "host=" + "a." * 100]):
+        spans, text = added(spark, " ".join(parts))
+        assert [text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in spans] == parts
+
+
 def test_many_parts_in_one_text(spark):
     df = spark.createDataFrame([(1, "user: bob pwd=letmein99 " * 4000)], "doc_id long, text string")
     assert len(secrets.query(spark, df).first().spans.split(",")) == 8000

@@ -25,11 +25,11 @@ from wordloom.llm.spans import found, kind_spans, let, written
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-#: Weak parts: role, pattern.
+#: Weak parts: role, pattern. A part runs to the end of its token, however long.
 WEAK = {
-    "id": r"""(?<![A-Za-z0-9])(?=[A-Z]*+[0-9])(?=[0-9]*+[A-Z])[A-Z0-9]{12,40}+(?![A-Za-z0-9])|(?i:user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}+""",
-    "secret": r"""(?<![A-Za-z0-9+/_-])(?=[^a-z\s]{0,40}[a-z])(?=[^A-Z\s]{0,40}[A-Z])(?=[^0-9\s]{0,40}[0-9])[A-Za-z0-9+/_-]{20,128}+={0,2}(?![A-Za-z0-9+/_-])|(?i:pwd|pass|passphrase|auth|credentials?|private_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=!@#$%^&*-]{6,128}+""",
-    "endpoint": r"""(?i:https?|wss?|s?ftp|ssh|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|redis|mongodb(?:\+srv)?|amqps?)://[^\s"'<>]{3,256}+|(?i:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,128}+""",
+    "id": r"""(?<![A-Za-z0-9])(?=[A-Z]*+[0-9])(?=[0-9]*+[A-Z])[A-Z0-9]{12,}+(?![A-Za-z0-9])|(?i:user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+""",
+    "secret": r"""(?<![A-Za-z0-9+/_-])(?=[^a-z\s]{0,40}[a-z]|[A-Z0-9+/_-]*+[a-z])(?=[^A-Z\s]{0,40}[A-Z]|[a-z0-9+/_-]*+[A-Z])(?=[^0-9\s]{0,40}[0-9]|[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_-])|(?i:pwd|pass|passphrase|auth|credentials?|private_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=!@#$%^&*-]{6,}+""",
+    "endpoint": r"""(?i:https?|wss?|s?ftp|ssh|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|redis|mongodb(?:\+srv)?|amqps?)://[^\s"'<>]{3,}+|(?i:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,}+""",
 }
 KINDS = ["assign", "access", "hex", "id", "secret", "endpoint"]
 #: Code points between two parts that meet; the fewest code points of a part.
