@@ -43,6 +43,24 @@ def test_a_wrong_language_is_no_fault(documents):
     assert right == wrong
 
 
+def test_every_language_is_judged_by_its_own_words(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(20):
+        vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+        share = [1 / (i + 3) for i in range(400)]
+        for _ in range(3 if k == 19 else 60 - k):
+            rows.append((len(rows), " ".join(rng.choices(vocabulary, share, k=150)), f"l{k:02d}", True))
+    rows += [(len(rows) + i, " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(150)), "l17", False) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, good boolean")
+    assert [r["lang"] for r in quality.references(df)] == [f"l{k:02d}" for k in range(19)]
+    got = quality.judged(df).select("wl_row.lang", "wl_row.good", "kept").collect()
+    assert not any(r.kept for r in got if not r.good)
+    assert all(r.kept for r in got if r.lang == "l19") and sum(r.kept for r in got if r.good) >= 0.99 * sum(r.good for r in got)
+
+
 def test_repeats_in_a_long_list(spark):
     words = [str(i) for i in range(400)] * 2
     df = spark.createDataFrame([(1, " ".join(words), "en")], "doc_id long, text string, lang string")

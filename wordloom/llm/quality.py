@@ -9,14 +9,16 @@ and above it the limit is wider by what sampling alone makes of it (a term in 1/
 
 Base rules reject before that: fewer than 50 words, or over half of all words in three-word windows that repeat.
 
-Cases: null text counts as empty and fails the base rules; a null or rare language has no reference of its own and is
-compared with all; without any reference (an empty table, no words) only the base rules hold; rows that repeat an id
+Cases: null text counts as empty and fails the base rules; a null or empty language is compared with all; a language
+with too few words for a reference is no evidence, so only the base rules hold for its documents; without any reference (an empty table, no words) only the base rules hold; rows that repeat an id
 each get a row. Windows are compared by 64-bit hash within a text. Other columns pass through in `wl_row`.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,8 +29,8 @@ from wordloom.llm.spans import let
 SPACE = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: References (languages with the most words), and common words of each.
-LANGUAGES, COMMON = 16, 64
+#: Common words of a reference.
+COMMON = 64
 #: Least code points and words that make a histogram evidence, and the limits of distance.
 LEAST_CHARS, LEAST_WORDS = 200, 80
 CHAR_LIMIT, WORD_LIMIT = 0.30, 0.47
@@ -58,14 +60,14 @@ def _language(docs: DataFrame, lang: str) -> Column:
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[dict]:
-    """Up to LANGUAGES references: lang, classes (shares), words (lower-case word to share of all words)."""
+    """A reference for each language with enough words: lang, classes (shares), words (lower-case word to share of all words)."""
     rows = docs.select(_language(docs, lang).alias("lang"), whole_text(text).alias("text")).filter("lang <> ''")
     words = rows.select("lang", F.explode(F.split(F.lower("text"), SPLIT)).alias("word")).filter("word <> ''")
     counts = stored(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
     # two passes over the texts: the words, of which totals are sums, and the marks
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.length("word")).alias("in_words"))
-    totals = totals.filter(F.col("n") >= REFERENCE_WORDS).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    totals = totals.filter(F.col("n") >= REFERENCE_WORDS).collect()
     if not totals:
         return []
     out = {r.lang: {"lang": r.lang, "n": r.n, "in_words": r.in_words, "classes": {}, "words": {}} for r in totals}
@@ -89,26 +91,31 @@ def _root(divergence: Column) -> Column:
     return F.sqrt(F.greatest(divergence, F.lit(0.0)))
 
 
-def char_distance(shares: Column, reference: dict) -> Column:
-    terms = [_half(shares[c], F.lit(reference["classes"][c])) + _half(F.lit(reference["classes"][c]), shares[c]) for c in CLASSES]
+def _literal(refs: list[dict]) -> Column:
+    """All references as one constant, so that the plan does not grow with them."""
+    rows = [{"lang": r["lang"], "classes": [r["classes"][c] for c in CLASSES], "words": dict(sorted(r["words"].items())), "rest": 1 - sum(r["words"].values())} for r in refs]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<lang:string,classes:array<double>,words:map<string,double>,rest:double>>")
+
+
+def char_distance(shares: dict[str, Column], reference: Column) -> Column:
+    terms = [_half(shares[c], F.get(reference.classes, F.lit(i))) + _half(F.get(reference.classes, F.lit(i)), shares[c]) for i, c in enumerate(CLASSES)]
     return _root(sum(terms[1:], terms[0]) / 2)
 
 
-def word_distance(words: Column, reference: dict) -> Column:
+def word_distance(words: Column, reference: Column) -> Column:
     """Bins are the common words of the reference, and all others together. Bins that the document lacks add half
     their share."""
-    share = F.create_map(*[F.lit(x) for w, q in sorted(reference["words"].items()) for x in (w, q)])
-    rest = 1 - sum(reference["words"].values())
-    common = F.sort_array(F.filter(words, lambda w: w.isin(*sorted(reference["words"]))))
+    rest = reference.rest
+    common = F.sort_array(F.filter(words, lambda w: F.map_contains_key(reference.words, w)))
 
     def measured(own: Column) -> Column:
         n = F.size(words).cast("double")
         ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1))), lambda i: (i <= F.size(own)) & ~F.get(own, i - 1).eqNullSafe(F.get(own, i)))
 
         def bins(at: Column) -> Column:
-            hits = F.transform(at, lambda e, i: F.struct(((e - F.coalesce(F.get(at, i - 1), F.lit(0))) / n).alias("p"), share[F.get(own, e - 1)].alias("q")))
+            hits = F.transform(at, lambda e, i: F.struct(((e - F.coalesce(F.get(at, i - 1), F.lit(0))) / n).alias("p"), F.try_element_at(reference.words, F.get(own, e - 1)).alias("q")))
             seen = F.aggregate(hits, F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q")), lambda a, h: F.struct((a.d + _half(h.p, h.q) + _half(h.q, h.p)).alias("d"), (a.q + h.q).alias("q")))
-            p0, q0 = 1 - F.size(own) / n, F.lit(max(rest, 0.0))
+            p0, q0 = 1 - F.size(own) / n, F.greatest(rest, F.lit(0.0))
             return let(seen, lambda s: _root((s.d + _half(p0, q0) + _half(q0, p0) + (1 - rest - s.q)) / 2))
 
         return let(ends, bins)
@@ -142,27 +149,22 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(windows(words), counted))
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
-
-
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", refs: list[dict] | None = None) -> DataFrame:
     """docs' columns in `wl_row`, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     refs = references(docs, text, lang) if refs is None else refs
     rows = docs.select(F.struct("*").alias("wl_row"), _language(docs, lang).alias("wl_lang"), whole_text(text).alias("wl_text"))
     body = F.col("wl_text")
 
-    def own_or_any(near: list[Column]) -> Column:
-        """Near the reference of the document's language, or else any."""
-        own = F.coalesce(*[F.when(F.col("wl_lang") == r["lang"], c) for r, c in zip(refs, near, strict=True)], F.lit(False))
-        return own | _any(near)
+    known = _literal(refs)
+
+    def own_or_any(near: Callable[[Column], Column]) -> Column:
+        """Near the reference of the document's language, or else any; a language without one says nothing."""
+        unknown = (F.col("wl_lang") != "") & ~F.exists(known, lambda r: r.lang == F.col("wl_lang"))
+        return unknown | F.exists(known, lambda r: (r.lang == F.col("wl_lang")) & near(r)) | F.exists(known, near)
 
     def words_near(w: Column) -> Column:
         limit = WORD_LIMIT**2 + _noise(COMMON + 1, F.size(w))
-        return (F.size(w) < LEAST_WORDS) | own_or_any([F.pow(word_distance(w, r), 2) <= limit for r in refs])
+        return (F.size(w) < LEAST_WORDS) | own_or_any(lambda r: F.pow(word_distance(w, r), 2) <= limit)
 
     def measured(w: Column) -> Column:
         lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.trim(x, F.lit(SPACE))) > 0)
@@ -183,7 +185,7 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", refs: list[d
     if refs:
         share = {c: F.col(f"wl_n.{c}") / F.greatest(F.col("wl_chars"), F.lit(1)) for c in CLASSES}
         limit = CHAR_LIMIT**2 + _noise(len(CLASSES), F.col("wl_chars") / 8)
-        kept = kept & ((F.col("wl_chars") < LEAST_CHARS) | own_or_any([F.pow(char_distance(share, r), 2) <= limit for r in refs]))
+        kept = kept & ((F.col("wl_chars") < LEAST_CHARS) | own_or_any(lambda r: F.pow(char_distance(share, r), 2) <= limit))
     return rows.select("wl_row", "n_words", "word_chars", F.col("wl_n.symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"))
 
 
