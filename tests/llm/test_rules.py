@@ -173,6 +173,23 @@ def test_contexts_give_unseen_numbers_away(spark):
     assert masked[103] == masked[7] == "please call me on [PHONE] now" and masked[201] == "again [PHONE] here" and masked[200] == rows[25][1]
 
 
+def test_contexts_reach_over_numbers(spark):
+    rows = [(i, f"see ext 4 phone +614{i:08d} now") for i in range(20)] + [(100, "see ext 4 phone 5550199222 now")]
+    rows += [(200 + i, f"please write to bob{i}@mail.example today") for i in range(20)] + [(300, "please write to jane.doe@intranet today")]
+    got = {r.doc_id: r.spans for r in pii.query(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "phone:16:26" and got[300] == "email:16:33"
+
+
+def test_discovery_goes_on_until_nothing_is_added(spark):
+    """Each context is known only by the numbers that the one before it gives away."""
+    steps = ["call me", "ring him", "dial her", "fax us", "text them"]
+    rows = [f"call me +614{i:08d} now" for i in range(20)]
+    for k, step in enumerate(steps):
+        rows += [f"{step} 04{j}{i:07d} now" for j in (k - 1, k) if j >= 0 for i in range(5)] + [f"{step} +614{i:08d} now" for i in range(4)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert all(r.spans for r in pii.query(spark, df).collect())
+
+
 def test_redaction_leaves_no_span(documents, odd):
     for df in (documents, odd):
         out = pii.redacted(df)

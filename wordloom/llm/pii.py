@@ -1,8 +1,9 @@
 """Personal data: base patterns, and bootstrapped contextual extraction, in DataFrame expressions alone.
 
 Base spans (email, ip, card, phone) are the seeds. The two words before a span are its lexical pattern. All
-identifier-like tokens with digits that no base span covers are candidates, with patterns of their own. Patterns and
-instances form a graph, stored as distinct pairs, and Spark scores it in rounds: a pattern's confidence is the share of
+identifier-like tokens with digits, and all that suit the shape of a kind, are candidates where no base span covers
+them, with patterns of their own. Patterns and instances form a graph, stored as distinct pairs, and Spark scores it in
+rounds until one adds no instance: a pattern's confidence is the share of
 its distinct instances that are known to be of one kind, if there are enough of those; an instance is believed by the
 patterns that precede it (noisy or) if its shape suits the kind, and then counts as known in the next round. Accepted
 instances are added as spans of their kind wherever they stand as a token.
@@ -26,12 +27,12 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-#: A token with a digit in it.
-TOKEN = r"(?<![A-Za-z0-9@._/#+-])[A-Za-z@._/#+-]*+[0-9][A-Za-z0-9@._/#+-]*+"
+#: A token with a digit or an at sign in it.
+TOKEN = r"(?<![A-Za-z0-9@._/#+-])(?:[A-Za-z@._/#+-]*+[0-9]|[A-Za-z._/#+-]++@)[A-Za-z0-9@._/#+-]*+"
 #: Code points before a span that hold its pattern.
 LEFT = 48
-#: Known instances and their share that make a pattern, belief that makes an instance, rounds.
-SUPPORT, CONFIDENCE, BELIEF, ROUNDS = 5, 0.6, 0.6, 2
+#: Known instances and their share that make a pattern, belief that makes an instance.
+SUPPORT, CONFIDENCE, BELIEF = 5, 0.6, 0.6
 # Shapes that an unseen identifier of a kind may have.
 SHAPES = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9]{1,4}([.][0-9]{1,4}){3,5}$", "card": r"^[0-9][0-9-]{11,30}$", "phone": r"^[+]?[0-9][0-9./-]{6,22}$"}
 
@@ -70,6 +71,10 @@ def _instance(match: Column) -> Column:
     return F.regexp_replace(match, r"[._/#+@-]+$", "")
 
 
+def _shaped(instance: Column) -> Column:
+    return instance.rlike("|".join(SHAPES.values()))
+
+
 def _base(kind: str, text: Column) -> Column:
     return F.filter(found(text, KINDS[kind], LEFT, _only(kind, text)), lambda s: valid(kind, s.match))
 
@@ -85,7 +90,8 @@ def located(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.select("wl_row", "wl_text", *[_base(k, body).alias(f"wl_{k}") for k in KINDS])
     base = F.concat(*[kind_spans(F.col(f"wl_{k}"), k, i) for i, k in enumerate(KINDS)])
     seeds = F.concat(*[_seeds(k) for k in KINDS])
-    tokens = F.filter(found(body, TOKEN, LEFT), lambda s: (F.length(s.match) >= 6) & (F.length(s.match) <= 64) & (F.length(digits(s.match)) >= 4))
+    # a shape takes 3 code points at least
+    tokens = F.filter(found(body, TOKEN, LEFT), lambda s: (F.length(s.match) >= 3) & (((F.length(s.match) >= 6) & (F.length(s.match) <= 64) & (F.length(digits(s.match)) >= 4)) | _shaped(_instance(s.match))))
     tokens = F.transform(tokens, lambda s: let(_instance(s.match), lambda i: F.struct(s.start.alias("start"), (s.start + F.length(i)).alias("end"), i.alias("instance"), _pattern(s.left).alias("pattern"))))
     rows = rows.select("wl_row", *[F.size(f"wl_{k}").cast("long").alias(f"n_{k}") for k in KINDS], base.alias("wl_base"), seeds.alias("wl_seeds"), tokens.alias("wl_tokens"))
     free = F.filter("wl_tokens", lambda t: ~F.exists("wl_base", lambda b: (b.start < t.end) & (t.start < b.end)))
@@ -99,8 +105,8 @@ def discovered(rows: DataFrame) -> DataFrame:
     pairs = stored(seeds.unionByName(tokens).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pattern-pairs")
     seeds = pairs.filter("kind is not null").groupBy("instance").agg(F.max("kind").alias("known"))
     graph = pairs.filter("pattern <> ''")
-    new = None
-    for _ in range(ROUNDS):
+    new, count = None, 0
+    while True:
         known = seeds if new is None else seeds.unionByName(new.join(seeds, "instance", "left_anti").select("instance", F.col("kind").alias("known")))
         scored = graph.join(known, "instance", "left").groupBy("pattern").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("known") == k, 1)).alias(k) for k in KINDS])
         best = F.greatest(*[F.struct(F.col(k).alias("hits"), F.lit(k).alias("kind")) for k in KINDS])
@@ -109,8 +115,10 @@ def discovered(rows: DataFrame) -> DataFrame:
         suits = F.coalesce(*[F.when(F.col("of") == k, F.col("instance").rlike(p)) for k, p in SHAPES.items()])
         believed = graph.filter("kind is null").join(scored, "pattern").filter(suits).groupBy("instance", "of").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("belief"))
         believed = believed.filter(F.col("belief") >= BELIEF).groupBy("instance").agg(F.max(F.struct("belief", "of")).alias("b")).select("instance", F.col("b.of").alias("kind"))
-        new = stored(believed, "instances")
-    return new
+        believed = stored(believed if new is None else new.unionByName(believed.join(new, "instance", "left_anti")), "instances")
+        if (n := believed.count()) == count:
+            return believed
+        new, count = believed, n
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:

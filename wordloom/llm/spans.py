@@ -51,16 +51,22 @@ def pieces(text: Column, pattern: str) -> tuple[Column, Column]:
 
 
 def found(text: Column, pattern: str, left: int = 0, only: Column | None = None) -> Column:
-    """Array of (start, end, match, left): places of the pattern's matches, and up to `left` code points before each,
-    back to the match before. only: texts that can match at all, where that is cheaper to see."""
+    """Array of (start, end, match, left): places of the pattern's matches, and up to `left` code points before each.
+    only: texts that can match at all, where that is cheaper to see."""
     matches, between = pieces(text, pattern)
 
+    def before(m: Column, s: Column, i: Column) -> Column:
+        """The stretch before a match and, if that is short, the matches and stretches before it, as many as can fill it."""
+        first = F.greatest(i - left, F.lit(0))
+        earlier = F.zip_with(F.slice(s, first + 1, i - first), F.slice(m, first + 1, i - first), lambda a, b: F.concat(F.right(a, F.lit(left)), F.right(b, F.lit(left))))
+        return F.when((i == 0) | (F.length(s[i]) >= left), F.right(s[i], F.lit(left))).otherwise(F.right(F.concat(F.array_join(earlier, ""), s[i]), F.lit(left)))
+
     def located(m: Column) -> Column:
         return let(
             between,
             lambda s: let(
                 sums_before(F.zip_with(F.slice(s, F.lit(1), F.size(m)), m, lambda a, b: F.length(a) + F.length(b))),
-                lambda at: F.transform(m, lambda x, i: F.struct((at[i] + F.length(s[i])).alias("start"), (at[i] + F.length(s[i]) + F.length(x)).alias("end"), x.alias("match"), (F.right(s[i], F.lit(left)) if left else F.lit("")).alias("left"))),
+                lambda at: F.transform(m, lambda x, i: F.struct((at[i] + F.length(s[i])).alias("start"), (at[i] + F.length(s[i]) + F.length(x)).alias("end"), x.alias("match"), (before(m, s, i) if left else F.lit("")).alias("left"))),
             ),
         )
 
