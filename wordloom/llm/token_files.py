@@ -149,18 +149,26 @@ def read_block(block: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned, 16-bit where the vocabulary allows), crc (of ids, for order)."""
+    """doc_id, n_tokens, ids (little-endian unsigned, 16-bit where the vocabulary allows), crc (of ids, for order); and,
+    where n_tokens is null, the counts of a partition's ids: `ids` holds these, `times` how often (uint64)."""
     prepare(docs.sparkSession)
+    names = ["doc_id", "n_tokens", "ids", "crc", "times"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
-        kind = "<u2" if max(tok.vocabulary, end_id + 1) <= 1 << 16 else "<u4"
+        size = max(tok.vocabulary, end_id + 1)
+        kind, total = "<u2" if size <= 1 << 16 else "<u4", np.zeros(size, np.int64)
         for b in it:
-            ids, at = tok.encode(b.column(1).to_pylist())
+            ids, at = tok.encode(b.column(1))
+            total += np.bincount(ids, minlength=size)
+            total[end_id] += len(b)
             rows = [np.append(ids[p:q], end_id) for p, q in zip(at[:-1], at[1:], strict=True)]
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.astype(kind).tobytes() for r in rows], pa.binary()), pa.array([crc32_of(r) for r in rows], pa.int64())], ["doc_id", "n_tokens", "ids", "crc"])
+            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.astype(kind).tobytes() for r in rows], pa.binary()), pa.array([crc32_of(r) for r in rows], pa.int64()), pa.nulls(len(rows), pa.binary())], names)
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([used.astype("<u4").tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.array([total[used].astype("<u8").tobytes()], pa.binary())], names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, crc long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, crc long, times binary")
 
 
 def _words(value: bytes, n: int) -> np.ndarray:
@@ -171,21 +179,17 @@ def global_counts(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Ids and their counts over all documents. At most as many rows as the vocabulary has come to the driver."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for b in it:
-            for n, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                add = np.bincount(_words(value, n), minlength=len(total))
-                add[: len(total)] += total
-                total = add
-        ids = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
-
-    rows = tokens.select("n_tokens", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
+            for ids, times in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.record_batch([pa.array(np.frombuffer(ids, "<u4").astype(np.int64)), pa.array(np.frombuffer(times, "<u8").astype(np.int64))], ["id", "n"])
+
+    counts = tokens.filter("times is not null").select("ids", "times")
+    rows = counts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
     return rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
 def written(tokens: DataFrame, files: int | None = None) -> DataFrame:
-    """Write the files; returns their blocks as read back: file_no, block_no, n_docs, n_tokens, block."""
+    """tokens: of `encoded`, stored. Write the files; returns their blocks as read back: file_no, block_no, n_docs, n_tokens, block."""
     spark = tokens.sparkSession
     ids, counts = global_counts(tokens)
     if not len(ids):
@@ -222,7 +226,7 @@ def written(tokens: DataFrame, files: int | None = None) -> DataFrame:
 
     files = files or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = ["doc_id", "crc", "n_tokens"]
-    ordered = tokens.repartitionByRange(files, *[F.col(k).asc_nulls_first() for k in keys]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
+    ordered = tokens.filter("n_tokens is not null").select("doc_id", "n_tokens", "ids", "crc").repartitionByRange(files, *[F.col(k).asc_nulls_first() for k in keys]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
     return stored(ordered.select("doc_id", "n_tokens", "ids").mapInArrow(run, "file_no long, block_no long, n_docs long, n_tokens long, block binary"), "token-files", "none")
 
 

@@ -1,147 +1,218 @@
 """Whole-text tokenising with the tokenizers library, each distinct stretch of text only once.
 
 The byte-level pre-tokeniser never joins a white-space character that precedes a visible one to what stands before
-it, so a text may be cut before any such character and its parts encoded alone. Parts repeat (they are words), so
-their ids are kept in a bounded memo and only new parts reach the library. Equality with encoding the whole text
-in one call is tested.
+it, so a text may be cut before any such character and its parts encoded alone. Parts repeat (they are words): Arrow
+cuts the texts of a batch and finds the distinct parts, whose ids are kept in a bounded memo, and only new parts reach
+the library. Equality with encoding the whole text in one call is tested.
 """
 
 from __future__ import annotations
 
-import array
+import codecs
+import gc
 import os
 import re
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from wordloom.llm.common import places as _places
+from wordloom.llm.common import stretches
+
 #: How the byte-level pre-tokeniser cuts a text, and the letters that its vocabulary writes for bytes (a fixed rule of
 #: byte-level BPE): visible Latin-1 characters stand for themselves, the other bytes for U+0100 and on.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
-SPACE_LETTER = chr(BYTE_LETTERS[0x20])
+LETTERS = "".join(chr(BYTE_LETTERS.get(b, b)) for b in range(256))
 #: Below this character, letters and numbers are the same in all versions of Unicode.
 LATIN_END = "\u0250"
+#: What it is when spelled: it parts the words that are spelled together.
+BETWEEN = "".join(LETTERS[b] for b in LATIN_END.encode())
 UNITS = re.compile(r"\s*\S+|\s+")
+#: White space that a text may end in.
+SPACES = " \t\n\x0b\x0c\r"
 
 
-class _Memo(dict):
-    """Key to index; a new key gets the next index and is queued. Keys that begin with a space stand for raw text."""
+def _raw(key: str) -> str:
+    return key[1:] if key[0] == " " else key if key[0] == "\n" else " " + key
 
-    def __init__(self, longest: int):
-        self.longest, self.next, self.queue = longest, 1, []
 
-    def __missing__(self, key: str) -> int:
-        if not key or (key[0] != " " and key[0].isspace() and (key[0] != "\n" or len(key) == 1 or key[1].isspace())):
-            self[key] = 0  # no safe cut here: the text goes the other way
-            return 0
-        index, self.next = self.next, self.next + 1
-        self.queue.append(key)
-        if len(key) <= self.longest:
-            self[key] = index
-        return index
+def _gathered(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """flat[at : at + n] of all pairs, one after another."""
+    reach = np.cumsum(n)
+    place = np.repeat(at - (reach - n), n)
+    place += np.arange(len(place))
+    return flat[place]
 
 
 class Tokenizer:
-    def __init__(self, path: str, entries: int = 1 << 20, longest: int = 48):
+    """Keys of the memo are units of a text: one that begins with a space stands for the raw text after it, one that
+    begins with a line end for itself, any other for a space and itself. Index 0 is a unit without a safe cut."""
+
+    def __init__(self, path: str, entries: int = 1 << 19, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.library = Library.from_file(path)
         self.library.encode_special_tokens = True
         self.vocabulary = self.library.get_vocab_size()
-        self.model = self.library.model
+        # the same merge model, for words that are cut and spelled in byte letters already
+        self.merges = Library(self.library.model)
+        self.merges.pre_tokenizer = CharDelimiterSplit(" ")
+        self.letters = np.zeros(self.vocabulary, np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.letters[i] = len(token)
         self.entries, self.longest = entries, longest
-        self.words: dict[str, bytes] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.memo = _Memo(self.longest)
-        self.at, self.n, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
-
-    def _learn(self) -> None:
-        queue, self.memo.queue = self.memo.queue, []
-        if not queue:
-            return
-        texts = [k[1:] if k[0] == " " else k if k[0] == "\n" else " " + k for k in queue]
-        ids, sizes = self._library(texts)
-        first, total = self.memo.next - len(queue), len(ids)
-        while self.memo.next > len(self.at):
+        self.memo: dict[str, int] = {}
+        self.next, self.used = 1, 0
+        self.at, self.n, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+
+    def _learn(self, keys: list[str]) -> np.ndarray:
+        """The indexes of new keys."""
+        ids, sizes, bad = self._library(keys)
+        first, total = self.next, len(ids)
+        self.next += len(keys)
+        while self.next > len(self.at):
             self.at, self.n = np.resize(self.at, 2 * len(self.at)), np.resize(self.n, 2 * len(self.n))
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         ends = self.used + np.cumsum(sizes)
-        self.at[first : self.memo.next], self.n[first : self.memo.next] = ends - sizes, sizes
+        self.at[first : self.next], self.n[first : self.next] = ends - sizes, sizes
         self.flat[self.used : self.used + total] = ids
         self.used += total
+        index = np.arange(first, self.next)
+        index[bad] = 0
+        return index
 
-    def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            letters = word.replace(" ", SPACE_LETTER) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-            got = self.words[word] = array.array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return got
-
-    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts and their numbers. Latin texts are cut by SPLIT and each new word goes to the library's
-        merge model; any other text goes through the whole library."""
-        if len(self.words) > self.entries // 2:
-            self.words.clear()
-        found: list[bytes] = []
-        others = []
-        for text in texts:
-            if text.isascii() or max(text) < LATIN_END:
-                if text[1:].isalpha() and text[0] == " ":
-                    found.append(self._word(text))
-                elif text[1:-1].isalpha() and text[0] == " " and text[-1] in ".,":
-                    found.append(self._word(text[:-1]) + self._word(text[-1]))
+    def _library(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Ids of the keys and their numbers, and which have no safe cut. Latin text is cut by SPLIT and its words go
+        to the library's merge model; any other text goes through the whole library."""
+        words: dict[str, int] = {}
+        word = words.setdefault
+        index: list[int] = []
+        count: list[int] = []
+        bad, others, texts = [], [], []
+        for key in keys:
+            if key.isalpha() and (key.isascii() or max(key) < LATIN_END):
+                index.append(word(" " + key, len(words)))
+                count.append(1)
+            elif not key or (key[0] != " " and key[0].isspace() and (key[0] != "\n" or len(key) == 1 or key[1].isspace())):
+                bad.append(len(count))
+                count.append(0)
+            elif key.isascii() or max(key) < LATIN_END:
+                if key[-1] in ".," and key[:-1].isalpha():
+                    own = " " + key[:-1], key[-1]
+                elif key[0] == "\n" and key[1:].isalpha():
+                    own = "\n", key[1:]
                 else:
-                    found.append(b"".join(map(self._word, SPLIT.findall(text))))
+                    own = SPLIT.findall(_raw(key))
+                for w in own:
+                    index.append(word(w, len(words)))
+                count.append(len(own))
             else:
-                others.append(len(found))
-                found.append(b"")
-        for i, e in zip(others, self.library.encode_batch([texts[i] for i in others], add_special_tokens=False), strict=True):
-            found[i] = array.array("I", e.ids).tobytes()
-        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+                others.append(len(index))
+                texts.append(_raw(key))
+                index.append(0)
+                count.append(1)
+        ids, sizes = self._merged(list(words))
+        of, n = np.array(index, np.int64), np.array(count, np.int64)
+        if texts:
+            found = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+            of[others] = np.arange(len(words), len(words) + len(found))
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+            sizes = np.concatenate([sizes, np.fromiter(map(len, found), np.int64, len(found))])
+        ends = np.concatenate([[0], np.cumsum(sizes[of])])[np.concatenate([[0], np.cumsum(n)])]
+        return _gathered(ids, (np.cumsum(sizes) - sizes)[of], sizes[of]), np.diff(ends), bad
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct Latin words, many in one call, and their numbers, told by the letters of their tokens."""
+        ids, sizes = [], []
+        for i in range(0, len(words), 1 << 16):
+            own = words[i : i + (1 << 16)]
+            spelled = codecs.charmap_decode(LATIN_END.join(own).encode(), "strict", LETTERS)[0].replace(BETWEEN, " ")
+            got = np.array(self.merges.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in own])
+            reach = np.cumsum(self.letters[got])
+            last = np.searchsorted(reach, ends)
+            if (reach[last] != ends).any():
+                raise ValueError("tokens of this vocabulary cross words")
+            ids.append(got)
+            sizes.append(np.diff(last, prepend=-1))
+        return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
 
     def _indexes(self, keys: list[str]) -> np.ndarray:
-        got = np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
-        self._learn()
+        """Indexes of distinct keys."""
+        got = np.fromiter(map(self.memo.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(got < 0)
+        if len(missing):
+            new, collecting = [keys[i] for i in missing.tolist()], gc.isenabled()
+            gc.disable()  # nothing that is made here forms cycles
+            try:
+                got[missing] = self._learn(new)
+            finally:
+                if collecting:
+                    gc.enable()
+            self.memo.update(zip(new, got[missing].tolist(), strict=True))
+            for key in [k for k in new if len(k) > self.longest]:
+                del self.memo[key]
         return got
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _all_indexes(self, keys: list[str]) -> np.ndarray:
+        """Indexes of keys that may repeat."""
+        distinct = list(dict.fromkeys(keys))
+        known = dict(zip(distinct, self._indexes(distinct).tolist(), strict=True))
+        return np.array([known[k] for k in keys], np.int64)
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (uint32), and where each text begins and the last ends."""
-        if self.memo.next > self.entries or self.used > 8 * self.entries:
+        rows = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
+        got = [self._encode(rows[i:j]) for i, j in stretches(rows)]
+        sizes = np.concatenate([np.zeros(1, np.int64), *[np.diff(ends) for _, ends in got]])
+        return np.concatenate([np.zeros(0, np.uint32), *[ids for ids, _ in got]]), np.cumsum(sizes)
+
+    def _encode(self, rows: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        if self.next > self.entries or self.used > 8 * self.entries:
             self.clear()
-        keys: list[str] = []
-        ends = np.zeros(len(texts) + 1, np.int64)
-        for i, text in enumerate(texts):
-            body = text.rstrip()
-            parts = body.replace("\n", " \n").split(" ")
-            parts[0] = " " + parts[0]
-            if len(body) < len(text):
-                parts.append(" " + text[len(body) :])
-            keys += parts
-            ends[i + 1] = len(keys)
-        index = self._indexes(keys)
+        # Arrow cuts the texts and finds the distinct units; Python sees each unit once for all these texts
+        body = pc.utf8_rtrim(rows, characters=SPACES)
+        parts = pc.split_pattern(pc.replace_substring(body, pattern="\n", replacement=" \n"), pattern=" ")
+        ends = parts.offsets.to_numpy().astype(np.int64)
+        ends -= ends[0]
+        flat = parts.flatten()
+        units = flat.dictionary_encode()
+        index = self._indexes(units.dictionary.to_numpy(zero_copy_only=False).tolist())[units.indices.to_numpy()]
+        index[ends[:-1]] = self._all_indexes([" " + k for k in flat.take(pa.array(ends[:-1])).to_pylist()])
+        lost = np.zeros(len(rows), bool)
+        at, size = _places(rows)
+        tails = np.flatnonzero(size > (keep := pc.binary_length(body).to_numpy()))
+        if len(tails):
+            data = rows.buffers()[2]
+            own = [" " + data[int(at[i] + keep[i]) : int(at[i] + size[i])].to_pybytes().decode() for i in tails]
+            lost[tails] = [x.isspace() for x in pc.utf8_slice_codeunits(body.take(pa.array(tails)), -1).to_pylist()]
+            index = np.insert(index, ends[1:][tails], self._all_indexes(own))
+            ends = ends + np.concatenate([[0], np.cumsum(size > keep)])
         wrong = np.flatnonzero(index == 0)
-        if len(wrong):
-            lost = np.unique(np.searchsorted(ends, wrong, "right") - 1)
+        lost[np.searchsorted(ends, wrong, "right") - 1] = True
+        if lost.any():
             pieces, last = [], 0
             sizes = np.diff(ends)
-            for i in lost:
-                units = [" " + u for u in UNITS.findall(texts[i])]
-                pieces += [index[ends[last] : ends[i]], self._indexes(units)]
-                sizes[i], last = len(units), i + 1
+            for i in np.flatnonzero(lost):
+                own = [" " + u for u in UNITS.findall(rows[int(i)].as_py())]
+                pieces += [index[ends[last] : ends[i]], self._all_indexes(own)]
+                sizes[i], last = len(own), i + 1
             index = np.concatenate([*pieces, index[ends[last] :]])
             ends = np.concatenate([[0], np.cumsum(sizes)])
         n = self.n[index]
-        reach = np.cumsum(n)
-        total = int(reach[-1]) if len(reach) else 0
-        ids = self.flat[np.repeat(self.at[index] - (reach - n), n) + np.arange(total)]
-        return ids, np.concatenate([[0], reach])[ends]
+        return _gathered(self.flat, self.at[index], n), np.concatenate([[0], np.cumsum(n)])[ends]
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
