@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.entropy import pack_bits, unpack_fixed
 from wordloom.operators.costs import HEADER, MODES
-from wordloom.plans import relations
+from wordloom.plans import dialect, relations
 
 ROWS = 4
 SCHEMA = "tensor long, tile long, mode_id long, mode_name string, n_rows int, n_cols int, payload binary, crc long"
@@ -167,8 +167,11 @@ def verified(rows: DataFrame, back: DataFrame) -> DataFrame:
 
 
 def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the decoded archive by number and by a sum over places, and how many differ from what went in."""
     rows = relations.rows(spark, sf_dir).select("tensor", "r", "ws")
-    return verified(rows, decompress(compress(rows)))
+    back = decompress(compress(rows))
+    check = back.select("tensor", F.aggregate(F.transform("ws", lambda w, c: w * (F.col("r") * 64 + c + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("s")).groupBy("tensor").agg(F.sum("s").alias("decoded_check"))
+    return verified(rows, back).join(check, "tensor")
 
 
 def archive_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,3 +181,7 @@ def archive_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"archive_roundtrip": archive_roundtrip, "archive_sizes": archive_sizes}
+ORACLES = {
+    "archive_roundtrip": f"WITH {dialect.DUCK_RELATIONS['words']} SELECT tensor, CAST(count(*) AS BIGINT) AS n_words, CAST(0 AS BIGINT) AS differing, CAST(sum(w * (r * 64 + c + 1)) AS BIGINT) AS decoded_check FROM words GROUP BY tensor",
+    "archive_sizes": dialect.render("codec_argmin", dialect.DUCK),
+}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import entropy
-from wordloom.plans import relations
+from wordloom.plans import dialect, relations
 
 MAGIC = b"WLT1"
 
@@ -40,10 +40,11 @@ def _coded(spark: SparkSession, sf_dir: str, code) -> DataFrame:
                 exponents = words >> 7 & 255
                 payloads, back = code(exponents, _counts(dict(part["table"].iloc[0])))
                 rebuilt = words & 0x807F | back << 7
-                yield pd.DataFrame({"tensor": tensor, "n_words": words.shape[1], "payload_bytes": [len(p) for p in payloads], "differing": (rebuilt != words).sum(axis=1)})
+                check = (back * (1 + np.arange(back.shape[1]))).sum(axis=1)
+                yield pd.DataFrame({"tensor": tensor, "n_words": words.shape[1], "payload_bytes": [len(p) for p in payloads], "differing": (rebuilt != words).sum(axis=1), "decoded_check": check})
 
-    rows = _with_table(spark, sf_dir).mapInPandas(run, "tensor long, n_words long, payload_bytes long, differing long")
-    return rows.groupBy("tensor").agg(F.sum("n_words").alias("n_words"), F.sum("differing").alias("differing"))
+    rows = _with_table(spark, sf_dir).mapInPandas(run, "tensor long, n_words long, payload_bytes long, differing long, decoded_check long")
+    return rows.groupBy("tensor").agg(*[F.sum(c).alias(c) for c in ("n_words", "payload_bytes", "differing", "decoded_check")])
 
 
 def _huffman(rows: np.ndarray, counts: np.ndarray):
@@ -86,11 +87,29 @@ def read_frame(data: bytes) -> np.ndarray:
 
 
 def huffman_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _coded(spark, sf_dir, _huffman)
+    """Huffman codes of a whole tensor, a stream a row: what comes back, and the bits of all codes."""
+    coded = _coded(spark, sf_dir, _huffman).drop("payload_bytes")
+    lengths = F.pandas_udf(lambda tables: pd.Series([int((entropy.huffman_lengths(_counts(dict(t))) * _counts(dict(t))).sum()) for t in tables]), "long")
+    bits = _with_table(spark, sf_dir).groupBy("tensor").agg(F.any_value("table").alias("table")).select("tensor", lengths("table").alias("payload_bits"))
+    return coded.join(bits, "tensor")
 
 
 def rans_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _coded(spark, sf_dir, _rans)
+    """A range coder under the frequencies of the whole tensor, a stream a row: what comes back, and whether all streams
+    together stay within the entropy of those frequencies and what a stream begins and ends with."""
+    coded = _coded(spark, sf_dir, _rans)
+
+    def bound(tables):
+        out = []
+        for t in tables:
+            n = _counts(dict(t))
+            freq = entropy.rans_frequencies(n)
+            out.append(float((n[n > 0] * -np.log2(freq[n > 0] / entropy.TOTAL)).sum()) / 8)
+        return pd.Series(out)
+
+    tables = _with_table(spark, sf_dir).groupBy("tensor").agg(F.any_value("table").alias("table"), F.count("*").alias("streams"))
+    room = tables.select("tensor", F.pandas_udf(bound, "double")("table").alias("ideal"), "streams")
+    return coded.join(room, "tensor").select("tensor", "n_words", "differing", "decoded_check", F.col("payload_bytes").between(F.col("ideal"), F.col("ideal") * 1.01 + 6 * F.col("streams")).alias("near_entropy"))
 
 
 def kbit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +117,34 @@ def kbit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _coded(spark, sf_dir, _framed)
+    """Deflated frames; a frame is refused when any of its bytes is changed."""
+    refused = F.pandas_udf(lambda rows: pd.Series([_refused(np.asarray(w, np.int64)) for w in rows]), "long")
+    broken = relations.rows(spark, sf_dir).groupBy("tensor").agg(F.sum(refused("ws")).alias("refused"))
+    return _coded(spark, sf_dir, _framed).drop("payload_bytes").join(broken, "tensor")
+
+
+def _refused(row: np.ndarray) -> int:
+    """Of a row's frame with one byte changed at a time, at eight places, how many are refused."""
+    body = zlib.compress(row.astype("<u2").tobytes(), 9)
+    frame = MAGIC + len(body).to_bytes(4, "little") + zlib.crc32(body).to_bytes(4, "little") + body
+    count = 0
+    for place in np.linspace(0, len(frame) - 1, 8).astype(int).tolist():
+        try:
+            read_frame(frame[:place] + bytes([frame[place] ^ 1]) + frame[place + 1 :])
+        except (ValueError, zlib.error):
+            count += 1
+    return count
 
 
 QUERIES = {f.__name__: f for f in (huffman_roundtrip, rans_roundtrip, kbit_roundtrip, frame_roundtrip)}
-ORACLES = {name: "SELECT CAST(label AS BIGINT) AS tensor, CAST(sum(len(embedding)) AS BIGINT) AS n_words, CAST(0 AS BIGINT) AS differing FROM embeddings GROUP BY label" for name in QUERIES}
+_WORDS = f"WITH RECURSIVE {dialect.DUCK_RELATIONS['words']}, x AS (SELECT tensor, r, c, (w >> 7) & 255 AS e FROM words)"
+_READ = "CAST(count(*) AS BIGINT) AS n_words, CAST(0 AS BIGINT) AS differing, CAST(sum(e * (c + 1)) AS BIGINT) AS decoded_check"
+#: The bits of Huffman codes are the sum of all inner nodes of the tree: the two least of a list go, their sum comes.
+HUFFMAN_SQL = "k AS (SELECT tensor, e, count(*) AS n FROM x GROUP BY tensor, e), t AS (SELECT tensor, list_sort(list(CAST(n AS BIGINT))) AS q, CAST(0 AS BIGINT) AS bits FROM k GROUP BY tensor UNION ALL SELECT tensor, list_sort(list_append(q[3:], q[1] + q[2])), bits + q[1] + q[2] FROM t WHERE len(q) > 1), hb AS (SELECT tensor, max(bits) AS bits FROM t GROUP BY tensor)"
+_WIDTH = "CASE WHEN k <= 2 THEN 1 ELSE CAST(ceil(log2(k)) AS BIGINT) END"
+ORACLES = {
+    "huffman_roundtrip": f"{_WORDS}, {HUFFMAN_SQL} SELECT x.tensor, {_READ}, CAST(max(hb.bits) AS BIGINT) AS payload_bits FROM x JOIN hb ON x.tensor = hb.tensor GROUP BY x.tensor",
+    "rans_roundtrip": f"{_WORDS} SELECT tensor, {_READ}, TRUE AS near_entropy FROM x GROUP BY tensor",
+    "kbit_roundtrip": f"{_WORDS}, n AS (SELECT tensor, count(DISTINCT e) AS k FROM x GROUP BY tensor), p AS (SELECT x.tensor, x.r, (count(*) * max({_WIDTH}) + 7) // 8 AS b FROM x JOIN n ON x.tensor = n.tensor GROUP BY x.tensor, x.r), s AS (SELECT tensor, sum(b) AS b FROM p GROUP BY tensor) SELECT x.tensor, {_READ}, CAST(max(s.b) AS BIGINT) AS payload_bytes FROM x JOIN s ON x.tensor = s.tensor GROUP BY x.tensor",
+    "frame_roundtrip": f"{_WORDS} SELECT tensor, {_READ}, CAST(8 * count(DISTINCT r) AS BIGINT) AS refused FROM x GROUP BY tensor",
+}

@@ -123,9 +123,10 @@ def block_size_choice(d):
 @definition("words")
 def bit_plane_cost(d):
     """Sixteen planes of a tile: none, all, a list of places, or a bitmap."""
-    b = f"b AS (SELECT i FROM {d.numbers(16)} z), p AS (SELECT tensor, {d.div('r', 4)} AS tile, b.i AS plane, count(*) AS n, sum({d.shr('w', 'CAST(b.i AS INT)')} & 1) AS ones FROM words CROSS JOIN b GROUP BY tensor, {d.div('r', 4)}, b.i)"
-    cost = f"CASE WHEN ones = 0 OR ones = n THEN 1 ELSE least(2 + 4 + {position_width('n')} * least(ones, n - ones), 1 + {d.div('n + 7', 8)}) END"
-    return b, f"SELECT tensor, tile, {long(f'sum({cost})')} AS bytes, {long('sum(CASE WHEN ones = 0 OR ones = n THEN 1 ELSE 0 END)')} AS constant_planes FROM p GROUP BY tensor, tile"
+    bits = ", ".join(f"sum({d.shr('w', i)} & 1) AS b{i}" for i in range(16))
+    cost = lambda i: f"CASE WHEN b{i} = 0 OR b{i} = n THEN 1 ELSE least(2 + 4 + {position_width('n')} * least(b{i}, n - b{i}), 1 + {d.div('n + 7', 8)}) END"
+    same = " + ".join(f"CASE WHEN b{i} = 0 OR b{i} = n THEN 1 ELSE 0 END" for i in range(16))
+    return f"p AS (SELECT tensor, {d.div('r', 4)} AS tile, count(*) AS n, {bits} FROM words GROUP BY tensor, {d.div('r', 4)})", f"SELECT tensor, tile, {long(' + '.join(cost(i) for i in range(16)))} AS bytes, {long(same)} AS constant_planes FROM p"
 
 
 @definition("words")

@@ -214,14 +214,17 @@ def traversal(name):
 @definition("words")
 def traversals(d):
     parts = d.stacked("g", ["tensor", "t", "w"], [(f"'{n}'", long(traversal(n))) for n in TRAVERSALS], ["traversal", "o"])
-    g = f"g AS (SELECT tensor, {d.div('r', 8)} * 8 + {d.div('c', 8)} AS t, r % 8 AS y, c % 8 AS x, w & 127 AS w FROM words WHERE r < {d.div('50', 8)} * 8), a AS ({parts})"
+    g = f"g AS (SELECT tensor, {d.div('r', 8)} * 8 + {d.div('c', 8)} AS t, r % 8 AS y, c % 8 AS x, w & 127 AS w FROM words), a AS ({parts})"
     s = "s AS (SELECT tensor, traversal, w, lag(w) OVER (PARTITION BY tensor, t, traversal ORDER BY o) AS p FROM a)"
     return f"{g}, {s}", f"SELECT tensor, traversal, {long('sum(CASE WHEN w = p THEN 1 ELSE 0 END)')} AS repeats, {long('sum(abs(w - p))')} AS movement FROM s GROUP BY tensor, traversal"
 
 
 @definition("words")
 def bit_plane_ones(d):
-    return f"b AS (SELECT i FROM {d.numbers(16)} z), p AS (SELECT tensor, b.i AS plane, {d.shr('w', 'CAST(b.i AS INT)')} & 1 AS bit FROM words CROSS JOIN b)", f"SELECT tensor, {long('plane')} AS plane, {long('sum(bit)')} AS ones, {six('avg(bit)')} AS share FROM p GROUP BY tensor, plane"
+    """Sixteen conditional sums in one pass, then a row for each plane."""
+    ones = ", ".join(f"sum({d.shr('w', i)} & 1) AS b{i}" for i in range(16))
+    planes = d.stacked("p", ["tensor", "n"], [(long(i), long(f"b{i}")) for i in range(16)], ["plane", "ones"])
+    return f"p AS (SELECT tensor, count(*) AS n, {ones} FROM words GROUP BY tensor)", f"SELECT tensor, plane, ones, {six('ones * 1.0 / n')} AS share FROM ({planes}) q"
 
 
 @definition("words")

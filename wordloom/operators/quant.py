@@ -90,8 +90,9 @@ def rmsnorm_silu(d):
 
 @definition("words")
 def causal_attention(d):
-    """Eight rows of each tensor as queries, keys and values: softmax over the rows up to each."""
-    s = "q AS (SELECT tensor, r, c, x FROM words WHERE r < 8), s AS (SELECT a.tensor, a.r AS t, b.r AS s, sum(a.x * b.x) / 8 AS z FROM q a JOIN q b ON a.tensor = b.tensor AND a.c = b.c AND b.r <= a.r GROUP BY a.tensor, a.r, b.r), p AS (SELECT tensor, t, s, exp(z - max(z) OVER (PARTITION BY tensor, t)) AS p FROM s), n AS (SELECT tensor, t, s, p / sum(p) OVER (PARTITION BY tensor, t) AS p FROM p)"
+    """The rows of each tensor as queries, keys and values, in stretches of eight: softmax over the rows of the stretch up
+    to each."""
+    s = f"q AS (SELECT tensor, r, c, x, {d.div('r', 8)} AS b FROM words), s AS (SELECT a.tensor, a.r AS t, b.r AS s, sum(a.x * b.x) / 8 AS z FROM q a JOIN q b ON a.tensor = b.tensor AND a.b = b.b AND a.c = b.c AND b.r <= a.r GROUP BY a.tensor, a.r, b.r), p AS (SELECT tensor, t, s, exp(z - max(z) OVER (PARTITION BY tensor, t)) AS p FROM s), n AS (SELECT tensor, t, s, p / sum(p) OVER (PARTITION BY tensor, t) AS p FROM p)"
     return s, f"SELECT n.tensor, n.t, {six('sum(n.p * q.x)')} AS value_sum, {six('sum(n.p * q.x * q.c)')} AS checksum FROM n JOIN q ON n.tensor = q.tensor AND n.s = q.r GROUP BY n.tensor, n.t"
 
 

@@ -171,10 +171,17 @@ def row_recovery(d):
 
 @definition("documents")
 def frequency_tiers(d):
-    """Words by count: the first 100, then those before which 9 %, then 30 % of all words lie, then the rest."""
-    t = f"t AS (SELECT {d.explode_words('text')} AS tok FROM documents), n AS (SELECT tok, count(*) AS n FROM t GROUP BY tok), a AS (SELECT sum(n) AS total FROM n), k AS (SELECT tok, n, row_number() OVER (ORDER BY n DESC, tok) AS k, sum(n) OVER (ORDER BY n DESC, tok ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before FROM (SELECT * FROM n WHERE n >= 40) z)"
-    tier = "CASE WHEN k <= 10 THEN 7 WHEN before < 0.15 * total THEN 6 WHEN before < 0.4 * total THEN 5 ELSE 4 END"
-    return t, f"SELECT {long(tier)} AS keep, {long('count(*)')} AS tokens, {long('sum(n)')} AS mass FROM k CROSS JOIN a GROUP BY {tier}"
+    """Words by count, ties by the word: the first 100, then those before which 9 %, then 30 % of all words lie, then the
+    rest. Counts of counts give the words and the mass before each count, so only words of one count are ordered
+    together, and that only where a tier ends among them."""
+    t = f"t AS (SELECT {d.explode_words('text')} AS tok FROM documents), n AS (SELECT tok, count(*) AS n FROM t GROUP BY tok), cc AS (SELECT n, count(*) AS words, sum(n) AS mass FROM n GROUP BY n)"
+    b = "cb AS (SELECT n, words, mass, sum(mass) OVER () AS total, sum(words) OVER (ORDER BY n DESC) - words AS words_before, sum(mass) OVER (ORDER BY n DESC) - mass AS mass_before FROM cc)"
+    # the k-th word of a count has words_before + k before it, and mass_before + n k
+    top = "least(greatest(100 - words_before, 0), words)"
+    cut = lambda share: f"least(greatest(CAST(ceil(({share} * total - mass_before) / n) AS BIGINT), 0), words)"
+    ends = f"ce AS (SELECT n, words, {top} AS a, greatest({top}, {cut('0.09')}) AS b, greatest({top}, {cut('0.3')}) AS c FROM cb)"
+    parts = d.stacked("ce", ["n"], [(long(k), long(x)) for k, x in ((7, "a"), (6, "b - a"), (5, "c - b"), (4, "words - c"))], ["keep", "tokens"])
+    return f"{t}, {b}, {ends}", f"SELECT keep, {long('sum(tokens)')} AS tokens, {long('sum(tokens * n)')} AS mass FROM ({parts}) q WHERE tokens > 0 GROUP BY keep"
 
 
 @definition("words")

@@ -7,13 +7,23 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.operators import archive, codecs, costs, fields, quant, solvers, stats, windows  # noqa: F401  these register their definitions
+from wordloom.operators import archive, codecs, costs, fields, quant, solvers, spatial, stats, windows  # noqa: F401  these register their definitions
 from wordloom.plans import dialect
 
 
+#: Modules with queries of their own, and their DuckDB spelling where there is one.
+MODULES = (codecs, solvers, archive, spatial)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(dialect.run, name) for name in dialect.DEFINITIONS} | codecs.QUERIES | solvers.QUERIES | archive.QUERIES
+    out = {name: partial(dialect.run, name) for name in dialect.DEFINITIONS}
+    for module in MODULES:
+        out |= module.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: dialect.render(name, dialect.DUCK) for name in dialect.DEFINITIONS} | codecs.ORACLES | {"archive_roundtrip": codecs.ORACLES["rans_roundtrip"], "archive_sizes": dialect.render("codec_argmin", dialect.DUCK)}
+    out = {name: dialect.render(name, dialect.DUCK) for name in dialect.DEFINITIONS}
+    for module in MODULES:
+        out |= getattr(module, "ORACLES", {})
+    return out
