@@ -12,7 +12,7 @@ from wordloom.plans.dialect import definition, long, six
 
 HEADER = 17
 # Fixed numbers of the encodings, which decide ties.
-MODES = {"raw": 0, "constant": 1, "value_dict": 2, "prev_value": 3, "prev_row": 4, "components": 7, "const_pred": 9, "position_dict": 13}
+MODES = {"raw": 0, "constant": 1, "value_dict": 2, "prev_value": 3, "prev_row": 4, "const_pred": 5, "duplicate_ref": 6, "components": 7, "ref_prev_tile": 8, "exp_huffman": 9, "exp_spatial": 10, "exp_hier": 11, "cross_layer": 12, "bit_planes": 13, "grammar": 14, "transformed_ref": 15, "position_dict": 16, "exp_rans": 17}
 
 
 def in_tile(d):

@@ -75,6 +75,13 @@ class Spark:
     def hexbyte(self, x):
         return f"lpad(lower(hex(CAST({x} AS BIGINT))), 2, '0')"
 
+    def hexword(self, x):
+        return f"lpad(lower(hex(CAST({x} AS BIGINT))), 4, '0')"
+
+    def huffman(self, source, keys, count, name):
+        """CTE body `name`: keys, and the bits of a Huffman code of the counts. At most 256 counts a group."""
+        return f"{name} AS (SELECT {', '.join(keys)}, wl_huffman_bits(collect_list(CAST({count} AS BIGINT))) AS bits FROM {source} GROUP BY {', '.join(keys)})"
+
     def sha(self, x):
         return f"sha2(unhex({x}), 256)"
 
@@ -142,6 +149,14 @@ class Duck(Spark):
     def hexbyte(self, x):
         return f"lpad(lower(to_hex(CAST({x} AS BIGINT))), 2, '0')"
 
+    def hexword(self, x):
+        return f"lpad(lower(to_hex(CAST({x} AS BIGINT))), 4, '0')"
+
+    def huffman(self, source, keys, count, name):
+        """The two least of a list of counts go and their sum comes, until one is left; the sums are the bits."""
+        own = ", ".join(keys)
+        return f"{name}_q AS (SELECT {own}, list_sort(list(CAST({count} AS BIGINT))) AS q, CAST(0 AS BIGINT) AS bits FROM {source} GROUP BY {own} UNION ALL SELECT {own}, list_sort(list_append(q[3:], q[1] + q[2])), bits + q[1] + q[2] FROM {name}_q WHERE len(q) > 1), {name} AS (SELECT {own}, max(bits) AS bits FROM {name}_q GROUP BY {own})"
+
     def sha(self, x):
         return f"sha256(unhex({x}))"
 
@@ -184,12 +199,13 @@ def render(name: str, dialect: Spark) -> str:
     f, relations = DEFINITIONS[name]
     tables, select = f(dialect)
     tables = [t for t in [DUCK_RELATIONS[r] for r in relations if dialect is DUCK] + [tables] if t]
-    return ("WITH " + ",\n".join(tables) + "\n" if tables else "") + select
+    return (("WITH RECURSIVE " if dialect is DUCK else "WITH ") + ",\n".join(tables) + "\n" if tables else "") + select
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.plans import relations
 
+    relations.functions(spark)
     for relation in DEFINITIONS[name][1]:
         relations.view(relation, spark, sf_dir)
     return spark.sql(render(name, SPARK))

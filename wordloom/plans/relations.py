@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wordloom.functions import entropy
+
 
 def _words(values):
     import pandas as pd
@@ -49,6 +51,17 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("tensor", "vec_id", "r", F.col("c").cast("long").alias("c"), F.col("v.xs").alias("x"), F.col("v.ws").alias("w"), F.col("v.prev").alias("prev_w"), F.col("v.left").alias("left_w"), F.col("v.above").alias("up_w"), F.col("v.corner").alias("nw_w"))
 
 
+def _huffman_bits(counts):
+    import pandas as pd
+
+    return pd.Series([int((entropy.huffman_lengths(n := np.asarray(c, np.int64)) * n).sum()) for c in counts])
+
+
+def functions(spark: SparkSession) -> None:
+    """What the definitions call beyond SQL."""
+    spark.udf.register("wl_huffman_bits", F.pandas_udf(_huffman_bits, "long"))
+
+
 def view(name: str, spark: SparkSession, sf_dir: str) -> None:
     made = words(spark, sf_dir) if name == "words" else spark.read.parquet(f"{sf_dir}/{name}.parquet")
     made.createOrReplaceTempView(name)
