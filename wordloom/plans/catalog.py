@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.operators import archive, codecs, costs, delta, fields, menu, models, quant, solvers, spatial, stats, windows  # noqa: F401  these register their definitions
+from wordloom.operators import archive, codecs, costs, delta, fields, menu, models, quant, solvers, spatial, stats, variants, windows  # noqa: F401  these register their definitions
 from wordloom.plans import dialect
 
 
