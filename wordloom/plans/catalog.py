@@ -7,12 +7,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.operators import archive, codecs, costs, delta, fields, menu, models, quant, solvers, spatial, stats, variants, windows  # noqa: F401  these register their definitions
+from wordloom.operators import archive, batched, codecs, costs, delta, fields, menu, models, quant, solvers, spatial, stats, variants, windows  # noqa: F401  these register their definitions
 from wordloom.plans import dialect
 
 
-#: Modules with queries of their own, and their DuckDB spelling where there is one.
-MODULES = (codecs, solvers, archive, spatial, models, delta)
+#: Modules with queries of their own, and their DuckDB spelling where there is one; those of `batched` stand for a
+#: definition of the same name, which DuckDB keeps.
+MODULES = (batched, codecs, solvers, archive, spatial, models, delta)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

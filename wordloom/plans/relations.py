@@ -28,11 +28,47 @@ def words_of(values: str | Column) -> Column:
     return F.pandas_udf(_words, "array<long>")(values)
 
 
+def values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tensor, vec_id, xs: rows without their places."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("long").alias("tensor"), "vec_id", F.col("embedding").cast("array<double>").alias("xs"))
+
+
+#: Bytes of the table above which a tensor's rows are numbered in stretches, and rows of a stretch.
+LARGE, STRETCH = 256 << 20, 4096
+
+
+def _planned_bytes(table: DataFrame) -> int:
+    """What the optimizer takes a plan's size to be."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _numbered(table: DataFrame) -> DataFrame:
+    """table with r, the place of a row in its label by vec_id. A small table takes one window a label. In a large one
+    vec_id is cut into stretches of equal width: their counts give the rows before each, and windows hold a stretch of a
+    label only, so there are as many tasks as the data want."""
+    if _planned_bytes(table) <= LARGE:
+        return table.withColumn("r", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long"))
+    low, high, n = table.agg(F.min("vec_id"), F.max("vec_id"), F.count("*")).first()
+    width = max(1, (high - low + 1) * STRETCH // n)
+    cut = table.withColumn("wl_cut", F.expr(f"(vec_id - {low}L) div {width}L"))
+    before = cut.groupBy("label", "wl_cut").agg(F.count("*").alias("wl_n"))
+    before = before.withColumn("wl_before", F.sum("wl_n").over(Window.partitionBy("label").orderBy("wl_cut")) - F.col("wl_n")).drop("wl_n")
+    own = F.row_number().over(Window.partitionBy("label", "wl_cut").orderBy("vec_id"))
+    return cut.withColumn("wl_own", own).join(before, ["label", "wl_cut"]).withColumn("r", (F.col("wl_before") + F.col("wl_own") - 1).cast("long")).drop("wl_cut", "wl_own", "wl_before")
+
+
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tensor, vec_id, r, xs (values), ws (words)."""
-    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    order = Window.partitionBy("label").orderBy("vec_id")
-    return table.select(F.col("label").cast("long").alias("tensor"), "vec_id", (F.row_number().over(order) - 1).cast("long").alias("r"), F.col("embedding").cast("array<double>").alias("xs"), words_of("embedding").alias("ws"))
+    table = _numbered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return table.select(F.col("label").cast("long").alias("tensor"), "vec_id", "r", F.col("embedding").cast("array<double>").alias("xs"), words_of("embedding").alias("ws"))
+
+
+def _with_above(table: DataFrame) -> DataFrame:
+    """rows with above, the words of the row before in the tensor (null for the first): by a window a tensor where the
+    table is small, else by a join on the place, which deals tensors over all tasks."""
+    if _planned_bytes(table) <= 4 * LARGE:
+        return table.withColumn("above", F.lag("ws").over(Window.partitionBy("tensor").orderBy("r")))
+    return table.join(table.select("tensor", (F.col("r") + 1).alias("r"), F.col("ws").alias("above")), ["tensor", "r"], "left")
 
 
 def _shifted(array: Column, first: Column) -> Column:
@@ -43,7 +79,7 @@ def _shifted(array: Column, first: Column) -> Column:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tensor, vec_id, r, c, x, w, prev_w (raster order), left_w, up_w, nw_w."""
     none = F.lit(None).cast("long")
-    got = rows(spark, sf_dir).withColumn("above", F.lag("ws").over(Window.partitionBy("tensor").orderBy("r")))
+    got = _with_above(rows(spark, sf_dir))
     above = F.coalesce("above", F.transform("ws", lambda _: none))
     got = got.select("tensor", "vec_id", "r", "xs", "ws", above.alias("above"))
     got = got.withColumns({"prev": _shifted(F.col("ws"), F.element_at("above", -1)), "left": _shifted(F.col("ws"), none), "corner": _shifted(F.col("above"), none)})
