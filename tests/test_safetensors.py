@@ -36,6 +36,28 @@ def test_reads_words_and_lists_all(spark, folder):
     assert [r.w for r in got.filter("tensor = 'norm'").orderBy("c").collect()] == [0x7FC1, 0x8000, 0xFF80]
 
 
+def test_bounds_on_rows_are_read_alone(folder):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
+
+    path, words = folder
+    reader = safetensors.Reader(str(path))
+    list(reader.pushFilters([In(("tensor",), ("layers.0.w", "norm")), EqualTo(("tensor",), "layers.0.w"), GreaterThan(("r",), 2), LessThanOrEqual(("r",), 4)]))
+    (part,) = reader.partitions()
+    assert (part.first, part.count) == (15, 10)
+    (batch,) = reader.read(part)
+    assert (batch.column(4).to_numpy() == words["layers.0.w"][1][3:5].reshape(-1)).all()
+    beyond = safetensors.Reader(str(path))
+    list(beyond.pushFilters([GreaterThan(("r",), 100)]))
+    assert beyond.partitions() == []
+
+
+def test_a_region_of_a_tensor(spark, folder):
+    path, words = folder
+    safetensors.register(spark)
+    got = spark.read.format("safetensors").load(str(path)).filter("tensor = 'layers.1.w' AND r >= 2 AND r < 5 AND c BETWEEN 1 AND 3").orderBy("r", "c")
+    assert [r.w for r in got.collect()] == words["layers.1.w"][1][2:5, 1:4].reshape(-1).tolist()
+
+
 def test_writes_what_it_reads(spark, folder, tmp_path):
     path, _ = folder
     safetensors.register(spark)

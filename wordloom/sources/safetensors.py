@@ -5,7 +5,7 @@
 
 A file begins with a little-endian uint64, the length of a JSON header {name: {dtype, shape, data_offsets}}, and the
 data. Planning reads headers alone; a partition is a range of words of one tensor, read by its bytes. A filter on
-`tensor` drops the other tensors' partitions.
+`tensor` drops the other tensors' partitions, and bounds on the row `r` leave only the bytes of those rows to be read.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 #: Types of 16 bits; others are listed by the inventory and not read.
 WORD_TYPES = ("BF16", "F16", "FP16")
@@ -71,25 +71,38 @@ def logical_shape(shape: list[int]) -> tuple[int, int]:
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """One row a tensor, all types: tensor, dtype, shape, n_words, n_bytes, path."""
-    rows = []
-    for file in files(path):
-        for name, entry in sorted(read_header(file)[0].items()):
-            start, end = entry["data_offsets"]
-            rows.append((name, entry["dtype"], entry["shape"], int(np.prod(entry["shape"], dtype=np.int64)), end - start, file))
-    return spark.createDataFrame(rows, "tensor string, dtype string, shape array<long>, n_words long, n_bytes long, path string").orderBy("tensor")
+    """One row a tensor, all types: tensor, dtype, shape, n_words, n_bytes, path. Headers are read by tasks."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for file in b.column(0).to_pylist():
+                rows = [(name, e["dtype"], e["shape"], int(np.prod(e["shape"], dtype=np.int64)), e["data_offsets"][1] - e["data_offsets"][0], file) for name, e in read_header(file)[0].items()]
+                columns = list(zip(*rows, strict=True)) or [[]] * 6
+                types = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.string()]
+                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["tensor", "dtype", "shape", "n_words", "n_bytes", "path"])
+
+    known = files(path)
+    dealt = spark.createDataFrame([(f,) for f in known], "path string").repartition(max(1, min(len(known), 1024)))
+    return dealt.mapInArrow(run, "tensor string, dtype string, shape array<long>, n_words long, n_bytes long, path string").orderBy("tensor")
 
 
 class Reader(DataSourceReader):
     def __init__(self, path: str):
-        self.path, self.names = path, None
+        self.path, self.names, self.low, self.high = path, None, 0, None
 
     def pushFilters(self, filters):
+        """Filters are joined by AND, so each narrows what those before it left."""
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("tensor",):
-                self.names = {f.value}
-            elif isinstance(f, In) and f.attribute == ("tensor",):
-                self.names = set(f.value)
+            own = getattr(f, "attribute", None)
+            if own == ("tensor",) and isinstance(f, (EqualTo, In)):
+                found = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.names = found if self.names is None else self.names & found
+            elif own == ("r",):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    top = f.value - isinstance(f, LessThan)
+                    self.high = top if self.high is None else min(self.high, top)
             yield f  # Spark checks again
 
     def partitions(self) -> list[Range]:
@@ -103,7 +116,8 @@ class Reader(DataSourceReader):
                 start, end = entry["data_offsets"]
                 if end - start != 2 * rows * cols:
                     raise ValueError(f"{name}: {end - start} bytes do not hold {rows} x {cols} words")
-                out += [Range(file, name, entry["dtype"], cols, base + start + 2 * i, i, min(RANGE_WORDS, rows * cols - i)) for i in range(0, rows * cols, RANGE_WORDS)]
+                first, last = self.low * cols, (rows if self.high is None else max(0, min(rows, self.high + 1))) * cols
+                out += [Range(file, name, entry["dtype"], cols, base + start + 2 * i, i, min(RANGE_WORDS, last - i)) for i in range(first, last, RANGE_WORDS)]
         return out
 
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
