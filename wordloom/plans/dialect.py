@@ -209,3 +209,15 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     for relation in DEFINITIONS[name][1]:
         relations.view(relation, spark, sf_dir)
     return spark.sql(render(name, SPARK))
+
+
+def run_on(name: str, words: DataFrame) -> DataFrame:
+    """A definition over words of any source (relations.spread), rather than over the tables of a folder."""
+    from wordloom.plans import relations
+
+    spark = words.sparkSession
+    if DEFINITIONS[name][1] != ("words",):
+        raise ValueError(f"{name} is not about words")
+    relations.functions(spark)
+    words.createOrReplaceTempView("words")
+    return spark.sql(render(name, SPARK))

@@ -77,12 +77,18 @@ def _shifted(array: Column, first: Column) -> Column:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tensor, vec_id, r, c, x, w, prev_w (raster order), left_w, up_w, nw_w."""
+    return spread(rows(spark, sf_dir))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Rows (tensor, vec_id, r, xs, ws) to words: tensor, vec_id, r, c, x, w, prev_w (raster order), left_w, up_w, nw_w."""
     none = F.lit(None).cast("long")
-    got = _with_above(rows(spark, sf_dir))
+    got = _with_above(table)
     above = F.coalesce("above", F.transform("ws", lambda _: none))
     got = got.select("tensor", "vec_id", "r", "xs", "ws", above.alias("above"))
     got = got.withColumns({"prev": _shifted(F.col("ws"), F.element_at("above", -1)), "left": _shifted(F.col("ws"), none), "corner": _shifted(F.col("above"), none)})
+    # the last row of a tensor may be shorter than the one above
+    got = got.withColumns({k: F.slice(k, F.lit(1), F.size("ws")) for k in ("above", "corner")})
     cells = got.select("tensor", "vec_id", "r", F.posexplode(F.arrays_zip("xs", "ws", "prev", "left", "above", "corner")).alias("c", "v"))
     return cells.select("tensor", "vec_id", "r", F.col("c").cast("long").alias("c"), F.col("v.xs").alias("x"), F.col("v.ws").alias("w"), F.col("v.prev").alias("prev_w"), F.col("v.left").alias("left_w"), F.col("v.above").alias("up_w"), F.col("v.corner").alias("nw_w"))
 
