@@ -41,6 +41,31 @@ def test_a_full_filter_changes_nothing(documents, monkeypatch):
     assert sorted(map(tuple, bloom_dedup.decisions(documents).collect())) == want
 
 
+def test_slices_of_the_filter_change_nothing(documents, monkeypatch):
+    want = sorted(map(tuple, bloom_dedup.decisions(documents).collect()))
+    kept = sorted(r.doc_id for r in bloom_dedup.kept_rows(documents).collect())
+    monkeypatch.setattr(bloom_dedup, "MOST_CELLS", 1 << 9)
+    monkeypatch.setattr(bloom_dedup, "PIECE", 1 << 7)
+    assert sorted(map(tuple, bloom_dedup.decisions(documents).collect())) == want
+    assert sorted(r.doc_id for r in bloom_dedup.kept_rows(documents).collect()) == kept
+
+
+def test_kept_rows_may_hold_maps(spark):
+    df = spark.sql("select id as doc_id, 'the same' as text, map('a', id) as m from range(6)")
+    assert [tuple(r) for r in bloom_dedup.kept_rows(df).collect()] == [(0, "the same", {"a": 0})]
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch, documents):
+    """Joins with every key over one row dealt over tasks give the same groups."""
+    from wordloom.llm import common
+
+    want = [sorted(map(repr, f(documents).collect())) for f in (bloom_dedup.decisions, simhash.near_groups)]
+    near = sorted(r.doc_id for r in simhash.kept_rows(documents).collect())
+    monkeypatch.setattr(common, "HEAVY", 1)
+    assert [sorted(map(repr, f(documents).collect())) for f in (bloom_dedup.decisions, simhash.near_groups)] == want
+    assert sorted(r.doc_id for r in simhash.kept_rows(documents).collect()) == near
+
+
 def test_merge_trees_lose_nothing(spark, monkeypatch):
     from wordloom.llm import common
 
@@ -182,6 +207,35 @@ def test_block_edits_and_short_words_are_candidates():
         assert total > 200 and found >= 0.9 * total
 
 
+def test_recall_of_near_copies_in_every_band(spark):
+    """Copies with scattered words changed, or with a passage added or removed: of the pairs of each band of similarity
+    from 0.8 up at least nine in ten are found, and of those below 0.8 none is linked."""
+    rng = np.random.default_rng(7)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 10))) for _ in range(6000)]
+    rows, pairs = [], []
+    for g in range(900):
+        words = list(rng.choice(vocabulary, rng.integers(60, 500)))
+        copy, share = list(words), rng.uniform(0.0, 0.25)
+        if g % 3 == 0:
+            for at in rng.choice(len(words), max(1, int(len(words) * share / 8)), replace=False):
+                copy[at] = str(rng.choice(vocabulary))
+        elif g % 3 == 1:
+            copy += list(rng.choice(vocabulary, int(len(words) * share)))
+        else:
+            at = int(rng.integers(0, len(words) // 2))
+            copy = words[:at] + words[at + int(len(words) * share) :]
+        a, b = " ".join(words), " ".join(copy)
+        rows += [(2 * g, a), (2 * g + 1, b)]
+        pairs.append(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.kept_rows(df).collect()}
+    assert all(2 * g in kept for g in range(900))
+    for low in (0.8, 0.85, 0.9, 0.95):
+        own = [g for g, s in enumerate(pairs) if low <= s < low + 0.05 or low == 0.95 and s == 1]
+        assert len(own) > 60 and sum(2 * g + 1 not in kept for g in own) >= 0.9 * len(own), low
+    assert all(2 * g + 1 in kept for g, s in enumerate(pairs) if s < 0.8)
+
+
 def test_short_different_texts_stay(spark):
     df = spark.createDataFrame([(i, f"yes no {i}") for i in range(300)], "doc_id long, text string")
     assert simhash.kept_rows(df).count() == 300

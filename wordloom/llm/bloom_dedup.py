@@ -1,10 +1,9 @@
 """Exact dedup in two passes with a Bloom filter.
 
-Pass 1 counts, for each cell of a filter, whether it is hit never, once or more often (two bitmaps, built in each
-partition and merged in a tree). Pass 2: a row whose cells were all hit twice or more may be repeated; only such rows
+Pass 1 tells for each cell of a filter whether it is hit more than once (cells meet by piece of the filter). Pass 2: a row whose cells were all hit twice or more may be repeated; only such rows
 shuffle, to be grouped by their whole SHA-256. All other rows are unique for certain and pass straight through.
 False alarms of the filter cost a shuffle and nothing else, so its size (a proven bound on what is broadcast) never
-changes a result.
+changes a result; where more rows come than the largest filter serves, digests are dealt into slices with a filter each.
 
 Texts are equal when they are identical without the characters of [\\x20\\x09-\\x0D]. Of equal texts the row with the
 most code points in its original text stays, then the smallest id.
@@ -19,14 +18,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import merged, prepare, stored, whole_text
+from wordloom.llm.common import prepare, salted_join, stored, whole_text
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Cells for each row, hashes of a row, and the most cells: at one bit each, 256 MB is the largest broadcast.
@@ -49,64 +48,69 @@ def _cells(digests: list[bytes], cells: int) -> np.ndarray:
     return (words & np.uint64(cells - 1)).astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars (code points of the original text), digest."""
-    prepare(docs.sparkSession)
+def _hashed(rows: DataFrame, text: str) -> DataFrame:
+    """rows with n_chars (code points of the original text), digest, and wl_pos (a number of each row); stored."""
+    prepare(rows.sparkSession)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            texts = b.column(1).to_pylist()
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(_digests(texts), pa.binary())], ["doc_id", "n_chars", "digest"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, "doc_id long, n_chars long, digest binary")
+    @F.pandas_udf("binary")
+    def digest(t):
+        import pandas as pd
 
+        return pd.Series(_digests(t.tolist()))
 
-def _both(rows: list[tuple]) -> tuple[bytes, bytes]:
-    once, more = (np.frombuffer(x, np.uint8).copy() for x in rows[0])
-    for a, b in rows[1:]:
-        a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-        more |= b | (once & a)
-        once |= a
-    return once.tobytes(), more.tobytes()
+    return stored(rows.withColumns({"n_chars": F.length(text).cast("long"), "digest": digest(F.col(text)), "wl_pos": F.monotonically_increasing_id()}).drop(text), "prints")
 
 
 def repeated_cells(prints: DataFrame, cells: int) -> np.ndarray:
-    """The bitmap of cells that were hit at least twice."""
+    """The bitmap of cells that were hit at least twice. A batch of rows gives each cell once, with whether it hit that
+    often; these meet by piece of the filter, sorted, so a task holds one piece at a time. The driver gets
+    cells / 8 bytes at most."""
+    schema = "piece long, cell long, often boolean"
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        once, more = {}, {}
+    def hit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             at, n = np.unique(_cells(b.column(0).to_pylist(), cells), return_counts=True)
-            for piece, first, last in zip(*_runs(at // PIECE), strict=True):
-                if piece not in once:
-                    once[piece], more[piece] = np.zeros(PIECE, bool), np.zeros(PIECE, bool)
-                own = at[first:last] % PIECE
-                more[piece][own] |= once[piece][own] | (n[first:last] > 1)
-                once[piece][own] = True
-        for piece in once:
-            yield pa.record_batch([pa.array([piece], pa.int64()), pa.array([part], pa.int64()), pa.array([np.packbits(once[piece]).tobytes()], pa.binary()), pa.array([np.packbits(more[piece]).tobytes()], pa.binary())], ["piece", "part", "once", "more"])
-
-    made = prints.select("digest")
-    rows = merged(made.mapInArrow(run, "piece long, part long, once binary, more binary"), "piece", "part", ["once", "more"], _both, made.rdd.getNumPartitions()).select("piece", "more").collect()
+            yield pa.record_batch([pa.array(at // PIECE), pa.array(at), pa.array(n > 1)], ["piece", "cell", "often"])
+
+    def mark(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_piece, last, more = -1, -1, np.zeros(PIECE, bool)
+
+        def closed() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([open_piece], pa.int64()), pa.array([np.packbits(more).tobytes()], pa.binary())], ["piece", "more"])
+
+        for b in it:
+            piece, cell, often = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if not len(piece):
+                continue
+            often = often | (cell == np.concatenate([[last], cell[:-1]]))
+            last = cell[-1]
+            starts = np.flatnonzero(np.diff(piece, prepend=-1)).tolist()
+            starts = starts if starts and not starts[0] else [0, *starts]
+            for first, end in zip(starts, [*starts[1:], len(piece)], strict=True):
+                if piece[first] != open_piece:
+                    if more.any():
+                        yield closed()
+                    open_piece, more = int(piece[first]), np.zeros(PIECE, bool)
+                more[cell[first:end][often[first:end]] % PIECE] = True
+        if more.any():
+            yield closed()
+
+    hits = prints.select("digest").mapInArrow(hit, schema)
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = hits.repartition(parts, "piece").sortWithinPartitions("piece", "cell").mapInArrow(mark, "piece long, more binary").collect()
     out = np.zeros(cells // 8, np.uint8)
     for r in rows:
-        out[r.piece * PIECE // 8 : (r.piece + 1) * PIECE // 8] = np.frombuffer(bytes(r.more), np.uint8)
+        out[r.piece * PIECE // 8 : (r.piece + 1) * PIECE // 8] |= np.frombuffer(bytes(r.more), np.uint8)
     return out
 
 
-def _runs(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
-    return values[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(values)][: len(starts)]
-
-
 def filter_cells(rows: int) -> int:
     return min(MOST_CELLS, max(PIECE, 1 << int(CELLS * max(rows, 1) - 1).bit_length()))
 
 
-def flagged(prints: DataFrame) -> DataFrame:
+def _flagged(prints: DataFrame, rows: int) -> DataFrame:
     """prints (stored) with wl_maybe: false where the digest is unique for certain."""
-    cells = filter_cells(prints.count())
+    cells = filter_cells(rows)
     known = prints.sparkSession.sparkContext.broadcast(repeated_cells(prints, cells))
 
     @F.pandas_udf("boolean")
@@ -120,48 +124,40 @@ def flagged(prints: DataFrame) -> DataFrame:
     return prints.withColumn("wl_maybe", maybe("digest"))
 
 
+def flagged(prints: DataFrame) -> DataFrame:
+    """prints (stored) with wl_maybe. Where the largest filter would be too full, digests are dealt into slices by a
+    hash, each with a filter of its own, made after one another, so that the share of false alarms never grows."""
+    rows = prints.count()
+    slices = -(-CELLS * rows // (2 * MOST_CELLS))
+    if slices <= 1:
+        return _flagged(prints, rows)
+    dealt = stored(prints.withColumn("wl_slice", F.pmod(F.xxhash64("digest"), F.lit(slices))), "slices", by="wl_slice")
+    own = [dealt.filter(F.col("wl_slice") == i).drop("wl_slice") for i in range(slices)]
+    return reduce(DataFrame.unionByName, [stored(_flagged(s, -(-rows // slices)), "flagged") for s in own])
+
+
 def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = stored(flagged(stored(fingerprints(docs, doc_id, text), "prints")), "flagged")
+    prints = _hashed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("wl_text")), "wl_text").drop("wl_pos")
+    rows = stored(flagged(prints), "flagged")
     hexed = F.lower(F.hex("digest")).alias("text_sha256")
     straight = rows.filter("not wl_maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hexed)
     maybe = rows.filter("wl_maybe").select("doc_id", "n_chars", "digest")
     best = maybe.groupBy("digest").agg(F.min(F.struct(-F.col("n_chars"), F.col("doc_id"))).alias("wl_best"), F.count("*").alias("group_size"))
-    best = best.select("digest", F.col("wl_best.doc_id").alias("keep_id"), (-F.col("wl_best.col1")).alias("wl_chars"), "group_size")
-    joined = maybe.join(best.hint("merge"), "digest").select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("wl_chars"))).alias("kept"), hexed)
+    best = stored(best.select("digest", F.col("wl_best.doc_id").alias("keep_id"), (-F.col("wl_best.col1")).alias("wl_chars"), "group_size"), "best")
+    joined = salted_join(maybe, best, "digest", "group_size").select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("wl_chars"))).alias("kept"), hexed)
     return straight.unionByName(joined)
 
 
 def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Only rows that may be repeated shuffle; each partition sends at
-    most one row of a group, its best so far."""
-    prepare(docs.sparkSession)
-    names = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("wl_row"), F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("wl_text"))
-
-    @F.pandas_udf("binary")
-    def digest(t):
-        import pandas as pd
-
-        return pd.Series(_digests(t.tolist()))
-
-    prints = stored(fingerprints(docs, doc_id, text), "prints")
-    cells = filter_cells(prints.count())
-    known = docs.sparkSession.sparkContext.broadcast(repeated_cells(prints, cells))
-
-    @F.pandas_udf("boolean")
-    def maybe(d):
-        import pandas as pd
-
-        at = _cells(d.tolist(), cells)
-        bits = known.value[at >> 3] >> (7 - (at & 7)) & 1
-        return pd.Series(bits.all(axis=1).astype(bool))
-
-    rows = whole.withColumn("digest", digest("wl_text"))
-    rows = stored(rows.select("wl_row", "doc_id", F.length("wl_text").alias("n_chars"), "digest", maybe("digest").alias("wl_maybe")), "flagged-rows")
-    straight = rows.filter("not wl_maybe").select("wl_row.*")
-    best = rows.filter("wl_maybe").groupBy("digest").agg(F.min(F.struct(-F.col("n_chars"), F.col("doc_id"), F.col("wl_row"))).alias("wl_best"))
-    return straight.unionByName(best.select("wl_best.wl_row.*"))
+    """The rows that stay, with all their columns. Of rows that may be repeated, what decides shuffles (size, id, digest,
+    number of the row); each partition sends at most one row of a group, its best so far. Of rows alike in all that
+    decides, the first of their numbers stays."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("wl_row"), F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("wl_text"))
+    rows = flagged(_hashed(whole, "wl_text"))
+    maybe = rows.filter("wl_maybe")
+    best = maybe.groupBy("digest").agg(F.min(F.struct(-F.col("n_chars"), F.col("doc_id"), F.col("wl_pos"))).alias("wl_best")).select("wl_best.wl_pos")
+    return rows.filter("not wl_maybe").select("wl_row.*").unionByName(maybe.join(best.hint("merge"), "wl_pos", "left_semi").select("wl_row.*"))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

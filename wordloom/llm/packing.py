@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wordloom.llm.common import places as _binary_places
 from wordloom.llm.common import prepare, stored, whole_text
 from wordloom.llm.tokens import crc32_of, tokenizer
 
@@ -27,14 +28,16 @@ RANKED = 250_000
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian unsigned, 16-bit where the
+    vocabulary allows); wl_no, a number of each row."""
     prepare(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
+        kind = "<u2" if max(tok.vocabulary, end_id + 1) <= 1 << 16 else "<u4"
         for b in it:
-            ids, at = tok.encode(b.column(1).to_pylist())
+            ids, at = tok.encode(b.column(1))
             keep, piece, start, rows = [], [], [], []
             for i, (p, q) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 own = np.append(ids[p:q], end_id)
@@ -46,10 +49,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, wit
                     start.append(x)
                     rows.append(own[x:y])
             out = [b.column(0).take(pa.array(keep, pa.int32())).cast(pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array([crc32_of(r) for r in rows], pa.int64())]
-            yield pa.record_batch(out + [pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))] * with_ids, names)
+            yield pa.record_batch(out + [pa.array([r.astype(kind).tobytes() for r in rows], pa.binary())] * with_ids, names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    got = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, schema)
+    return got.withColumn("wl_no", F.monotonically_increasing_id())
 
 
 def plan(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -137,22 +141,30 @@ def packed(parts: DataFrame, capacity: int) -> DataFrame:
     known = spark.sparkContext.broadcast(table)
     salts = max(16, -(-total // RANKED))
     cell = Window.partitionBy("length", "wl_salt")
-    parts = parts.withColumn("wl_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    parts = parts.withColumn("wl_salt", F.pmod(F.xxhash64("wl_no"), F.lit(salts)))
     cells = parts.groupBy("length", "wl_salt").agg(F.count("*").alias("wl_n"))
     cells = cells.withColumn("wl_base", F.sum("wl_n").over(Window.partitionBy("length").orderBy("wl_salt").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("length"), F.col("wl_salt"), F.coalesce("wl_base", F.lit(0)).alias("wl_base"))
-    ranked = parts.withColumn("wl_row", F.row_number().over(cell.orderBy(F.col("doc_id").asc_nulls_first(), "piece", "ids_crc32")))
+    ranked = parts.withColumn("wl_row", F.row_number().over(cell.orderBy("wl_no")))
     ranked = ranked.join(cells, ["length", "wl_salt"]).withColumn("wl_rank", F.col("wl_base") + F.col("wl_row") - 1)
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length, rank):
-        import pandas as pd
+    columns = [c for c in parts.columns if c not in ("wl_no", "wl_salt")]
+    fields = [f"{f.name} {'array<int>' if f.name == 'ids' else f.dataType.simpleString()}" for f in parts.select(*columns).schema]
 
-        t, size, r = known.value, length.to_numpy(np.int64), rank.to_numpy(np.int64)
-        i = np.searchsorted(t[:, 0] * (1 << 44) + t[:, 1], size * (1 << 44) + r, "right") - 1
-        within, times = r - t[i, 1], t[i, 3]
-        return pd.DataFrame({"sequence_id": t[i, 4] + within % times, "offset": t[i, 5] + within // times * size})
-
-    return ranked.withColumn("wl_place", place("length", "wl_rank")).withColumns({"sequence_id": F.col("wl_place.sequence_id"), "offset": F.col("wl_place.offset")}).drop("wl_salt", "wl_base", "wl_row", "wl_rank", "wl_place")
+    def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = known.value
+        for b in it:
+            size, r = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "wl_rank"))
+            i = np.searchsorted(t[:, 0] * (1 << 44) + t[:, 1], size * (1 << 44) + r, "right") - 1
+            within, times = r - t[i, 1], t[i, 3]
+            own = {c: b.column(b.schema.get_field_index(c)) for c in columns}
+            if "ids" in own:
+                at, n = map(np.array, _binary_places(own["ids"]))
+                width = int(n[0] // size[0]) if len(n) else 2
+                flat = np.frombuffer(own["ids"].buffers()[2], f"<u{width}", int(n.sum()) // width, int(at[0])) if len(n) else np.zeros(0, "<u2")
+                own["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat.astype(np.int32)))
+            yield pa.record_batch([*own.values(), pa.array(t[i, 4] + within % times), pa.array(t[i, 5] + within // times * size)], [*own, "sequence_id", "offset"])
+
+    return ranked.select(*columns, "wl_rank").mapInArrow(place, ", ".join([*fields, "sequence_id long", "offset long"]))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
