@@ -268,6 +268,12 @@ def test_shards_are_even(spark, documents, odd, nothing, tmp_path):
     assert {(r.doc_id, r.wl_shard) for r in back.collect()} == {(r.doc_id, r.shard) for r in got}
 
 
+def test_rows_alike_are_written_each(spark, odd, tmp_path):
+    sharding.write_shards(odd, 3, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(repr, back.select(*odd.columns).collect())) == sorted(map(repr, odd.collect()))
+
+
 def test_a_hot_text_is_split(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "case when id % 3 = 0 then repeat('hot ', 200) else repeat(cast(id as string), 40) end as text")
     got = check_shards(df, 8)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,10 +37,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests on one machine), a folder made here."""
+    """The folder named in spark.checkpoint.dir; where that is unset on one machine (tests), a folder made here."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     made = getattr(shared_dir, "made", None)
     if made is None:
         made = shared_dir.made = "file://" + tempfile.mkdtemp(prefix="wordloom-")

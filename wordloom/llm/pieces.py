@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import prepare, whole_text
+from wordloom.llm.common import prepare, stretches, whole_text
 
 MARK = "▁"
+#: Bytes of text that are segmented at a time.
+STRETCH = 4 << 20
 UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 
 
@@ -158,10 +160,11 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for b in it:
-            ids = own.encode(b.column(1).to_pylist())
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
-            yield pa.record_batch([b.column(0).cast(pa.int64()), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "text", "ids"])
+            for i, j in stretches(b.column(1), STRETCH):
+                ids = own.encode(b.column(1)[i:j].to_pylist())
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
+                yield pa.record_batch([b.column(0)[i:j].cast(pa.int64()), b.column(1)[i:j], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "text", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, "doc_id long, text string, ids array<int>")
 

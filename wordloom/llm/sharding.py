@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.common import prepare, stored, whole_text
 
-#: Fewest ranges; rows that a range holds on average at most; samples for a range; rounds of subdividing.
-RANGES, RANGE_ROWS, SAMPLES, ROUNDS = 256, 500_000, 24, 3
+#: Fewest ranges; rows that a range holds on average at most, until there are the most ranges; samples for a range;
+#: rounds of subdividing. Samples, splitters and sums of ranges on the driver are bounded by these.
+RANGES, RANGE_ROWS, MOST_RANGES, SAMPLES, ROUNDS = 256, 500_000, 1 << 16, 24, 3
 KEY = ["wl_h", "wl_g"]
 
 
@@ -74,7 +75,7 @@ def _ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
 
 
 def _ranges(rows: DataFrame, total: float, count: int) -> list[tuple[int, int]]:
-    parts = max(RANGES, -(-count // RANGE_ROWS))
+    parts = min(MOST_RANGES, max(RANGES, -(-count // RANGE_ROWS)))
     whole = rows.withColumn("wl_range", F.lit(0).cast("long"))
     splitters = _quantiles(_sample(whole, F.col("wl_load") * (parts * SAMPLES / total), 0), parts)
     limit = 2 * total / parts
@@ -95,16 +96,16 @@ def _ranges(rows: DataFrame, total: float, count: int) -> list[tuple[int, int]]:
     return splitters
 
 
-def assigned(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot for each row."""
+def assigned(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", own: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot for each row, and the columns named in `own`."""
     prepare(docs.sparkSession)
     spark = docs.sparkSession
     body = whole_text(text)
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("wl_h"))
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("wl_h"), *own)
     slim = stored(slim.withColumn("wl_g", F.xxhash64("doc_id")), "sizes")
     count, total = slim.agg(F.count("*"), F.sum("size")).first()
     if not count:
-        return slim.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return slim.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), *own)
     rows = slim.withColumn("wl_load", _load(total / count))
     rows = stored(_ranged(rows, _ranges(rows, 2.0 * total, count)), "ranged")
     sums = rows.groupBy("wl_range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).orderBy("wl_range").collect()  # as many as the ranges
@@ -117,18 +118,21 @@ def assigned(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "
     placed = rows.withColumns({"wl_sum": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)), "wl_nth": F.row_number().over(order)}).join(offsets, "wl_range")
     middle = F.col("wl_bytes") + F.col("wl_sum") - F.col("size") + F.expr("size div 2")
     shard = F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(38,0)") * shards / F.lit(total).cast("decimal(20,0)"))).cast("int")
-    placed = stored(placed.select("doc_id", "size", "text_crc32", shard.alias("shard"), (F.col("wl_rows") + F.col("wl_nth") - 1).alias("wl_rank")), "placed")
+    placed = stored(placed.select("doc_id", "size", "text_crc32", shard.alias("shard"), (F.col("wl_rows") + F.col("wl_nth") - 1).alias("wl_rank"), *own), "placed")
     firsts = F.broadcast(placed.groupBy("shard").agg(F.min("wl_rank").alias("wl_first")))  # one row a shard
-    return placed.join(firsts, "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("wl_rank") - F.col("wl_first")).alias("slot"))
+    return placed.join(firsts, "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("wl_rank") - F.col("wl_first")).alias("slot"), *own)
 
 
 def write_shards(docs: DataFrame, shards: int, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Write the rows of docs, with all columns, to path/wl_shard=0 and on, in order of their slots."""
-    where = assigned(docs, shards, doc_id, text).select(F.col("doc_id").alias("wl_id"), F.col("text_crc32").alias("wl_crc"), F.col("shard").alias("wl_shard"), F.col("slot").alias("wl_slot"))
-    where = where.dropDuplicates(["wl_id", "wl_crc"])  # rows alike in id and text share the place of one
-    keyed = docs.withColumns({"wl_id": F.col(doc_id).cast("long"), "wl_crc": F.crc32(whole_text(text).cast("binary"))})
-    joined = keyed.join(where, keyed.wl_id.eqNullSafe(where.wl_id) & (keyed.wl_crc == where.wl_crc)).select(*[keyed[c] for c in docs.columns], "wl_shard", "wl_slot")
-    joined.repartitionByRange(max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "wl_shard", "wl_slot").sortWithinPartitions("wl_shard", "wl_slot").drop("wl_slot").write.partitionBy("wl_shard").parquet(path)
+    """Write the rows of docs, with all columns, to path/wl_shard=0 and on, in order of their slots. Rows alike in
+    id and text have places of their own."""
+    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("wl_row"), F.col(doc_id).cast("long").alias("wl_id"), whole_text(text).alias("wl_text")).withColumn("wl_pos", F.monotonically_increasing_id()), "rows")
+    where = assigned(rows.drop("wl_row"), shards, "wl_id", "wl_text", ("wl_pos",)).select("wl_pos", F.col("shard").alias("wl_own_shard"), F.col("slot").alias("wl_slot"))
+    joined = rows.select("wl_pos", "wl_row").join(where.hint("merge"), "wl_pos").select("wl_row.*", "wl_own_shard", "wl_slot")
+    if "wl_shard" in docs.columns:
+        raise ValueError("wl_shard is the name of the folders: rename the column")
+    ordered = joined.repartitionByRange(max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "wl_own_shard", "wl_slot").sortWithinPartitions("wl_own_shard", "wl_slot")
+    ordered.drop("wl_slot").withColumnRenamed("wl_own_shard", "wl_shard").write.partitionBy("wl_shard").parquet(path)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
