@@ -124,3 +124,45 @@ def test_reports_settings_and_choices(spark):
     assert reports.resumed([{"recipe": {"b": 4}, "layer": "0"}], {"b": 4}, ["0", "1"]) == ["1"]
     with pytest.raises(ValueError):
         reports.resumed([{"recipe": {"b": 5}, "layer": "0"}], {"b": 4}, ["0", "1"])
+
+
+def test_sources_of_weights_and_added_forms(spark, data, tmp_path):
+    from wordloom.sources import weights
+
+    rows = relations.rows(spark, data).select("tensor", "r", "ws")
+    path = str(tmp_path / "c")
+    containers.write_tensors(archive.compress(rows), path)
+    first = weights.sidecar(spark, path)
+    assert all(r.differing == 0 for r in archive.verified(rows, first).collect())
+    assert weights.sidecar(spark, path).count() == first.count()
+    source = weights.Frame(first)
+    source.prefetch(1, 2)
+    assert sorted(r.r for r in source.rows(1, 3, 4).collect()) == [3, 4, 5, 6]
+    source.release(1, 2)
+    index = {r.tensor: r.sha256 for r in containers.index(spark, path).collect()}
+    assert weights.guarded(spark, path, index).count() == first.count()
+    with pytest.raises(ValueError):
+        weights.guarded(spark, path, index | {1: "0"})
+
+    class Ramp:
+        mode, name = 200, "ramp"
+
+        def estimate(self, words):
+            return 2 if (np.diff(words.reshape(-1)) == 1).all() else 1 << 30
+
+        def encode(self, words):
+            return int(words.reshape(-1)[0]).to_bytes(2, "little")
+
+        def decode(self, payload, rows, cols):
+            return (int.from_bytes(payload, "little") + np.arange(rows * cols)).reshape(rows, cols)
+
+    weights.register(Ramp())
+    try:
+        words = np.arange(100, 356).reshape(4, 64)
+        mode, name, payload = weights.cheapest(words)
+        assert (mode, name) == (200, "ramp") and (weights.read(mode, name, payload, 4, 64) == words).all()
+        assert weights.cheapest(np.full((4, 64), 7))[1] == "constant"
+        with pytest.raises(ValueError):
+            weights.register(Ramp())
+    finally:
+        weights.FORMS.clear()

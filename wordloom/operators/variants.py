@@ -174,3 +174,41 @@ def projected_total(d):
     f = f"f AS (SELECT tensor, {fields(d)} FROM words), k AS (SELECT tensor, count(*) AS n, count(DISTINCT e) AS ke, count(DISTINCT m) AS km FROM f GROUP BY tensor)"
     bits = f"(1 + ({bits_needed(d, 'ke')}) + ({bits_needed(d, 'km')}))"
     return f, f"SELECT coalesce(CAST(tensor AS BIGINT), -1) AS tensor, {long('sum(n)')} AS n_words, {long(f'sum({d.div(f'n * {bits} + 7', 8)} + 2 * ke)')} AS bytes, {six(bpw(f'sum({d.div(f'n * {bits} + 7', 8)} + 2 * ke)', 'sum(n)'))} AS bpw FROM k GROUP BY ROLLUP (tensor)"
+
+
+@definition("words")
+def field_code_sizes(d):
+    """Bytes of a tensor's mantissas in one Huffman table, by the exponent where that has 256 words or more and pays for
+    its table (others share the one table), and with the sign; a table takes two bytes and two a symbol."""
+    f = f"f AS (SELECT tensor, {fields(d)} FROM words), ec AS (SELECT tensor, e, m, count(*) AS n FROM f GROUP BY tensor, e, m), mc AS (SELECT tensor, m, sum(n) AS n FROM ec GROUP BY tensor, m), sm AS (SELECT tensor, s * 128 + m AS sym, count(*) AS n FROM f GROUP BY tensor, s * 128 + m)"
+    tables = f"{d.huffman('mc', ['tensor'], 'n', 'hm')}, {d.huffman('sm', ['tensor'], 'n', 'hs')}, {d.huffman('ec', ['tensor', 'e'], 'n', 'he')}"
+    k = "mk AS (SELECT tensor, count(*) AS k, sum(n) AS n FROM mc GROUP BY tensor), sk AS (SELECT tensor, count(*) AS k FROM sm GROUP BY tensor), ek AS (SELECT tensor, e, count(*) AS k, sum(n) AS n FROM ec GROUP BY tensor, e)"
+    share = "ct AS (SELECT ek.tensor, ek.e, ek.n, CASE WHEN ek.n >= 256 AND he.bits + 8 * (2 + 2 * ek.k) < ek.n * hm.bits * 1.0 / mk.n THEN 1 ELSE 0 END AS own, he.bits + 8 * (2 + 2 * ek.k) AS cost, ek.n * hm.bits * 1.0 / mk.n AS shared FROM ek JOIN he ON ek.tensor = he.tensor AND ek.e = he.e JOIN hm ON ek.tensor = hm.tensor JOIN mk ON ek.tensor = mk.tensor), cs AS (SELECT tensor, sum(own) AS contexts, sum(CASE WHEN own = 1 THEN cost ELSE shared END) AS bits FROM ct GROUP BY tensor)"
+    byte = lambda x: d.div(f"{x} + 7", 8)
+    return f"{f}, {tables}, {k}, {share}", f"SELECT mk.tensor, {long(f'2 + 2 * mk.k + {byte("hm.bits")}')} AS mantissa_bytes, {long(f'2 + 2 * sk.k + {byte("hs.bits")}')} AS sign_mantissa_bytes, {long('cs.contexts')} AS contexts, {six('(cs.bits + 8 * (2 + 2 * mk.k)) / mk.n')} AS bits_by_exponent FROM mk JOIN hm ON mk.tensor = hm.tensor JOIN sk ON mk.tensor = sk.tensor JOIN hs ON mk.tensor = hs.tensor JOIN cs ON mk.tensor = cs.tensor"
+
+
+@definition("words")
+def node_formulas(d):
+    """Nibbles of 16 x 16 tiles by seven formulas: one value, the tile to the left, a value a row, a value a column, a plane
+    a + bx + cy modulo 16, the commonest with exceptions, or as they are; the cheapest, in that order."""
+    v = lambda x: f"({d.shr(x, 3)} & 15)"
+    g = f"h AS (SELECT tensor, max(r) + 1 AS h FROM words GROUP BY tensor), g AS (SELECT w.tensor, {d.div('w.r', 16)} AS ty, {d.div('w.c', 16)} AS tx, w.r % 16 AS y, w.c % 16 AS x, {v('w.w')} AS v FROM words w JOIN h ON w.tensor = h.tensor WHERE w.r < {d.div('h.h', 16)} * 16)"
+    corner = "c AS (SELECT tensor, ty, tx, max(CASE WHEN y = 0 AND x = 0 THEN v END) AS a, max(CASE WHEN y = 0 AND x = 1 THEN v END) AS b, max(CASE WHEN y = 1 AND x = 0 THEN v END) AS e FROM g GROUP BY tensor, ty, tx)"
+    seen = "n AS (SELECT g.tensor, g.ty, g.tx, g.y, g.x, g.v, lag(g.v) OVER (PARTITION BY g.tensor, g.ty, g.y, g.x ORDER BY g.tx) AS l, min(g.v) OVER (PARTITION BY g.tensor, g.ty, g.tx, g.y) AS rl, min(g.v) OVER (PARTITION BY g.tensor, g.ty, g.tx, g.x) AS cl, (c.a + g.x * (c.b - c.a + 16) + g.y * (c.e - c.a + 16)) % 16 AS p FROM g JOIN c ON g.tensor = c.tensor AND g.ty = c.ty AND g.tx = c.tx)"
+    odd = lambda when: f"sum(CASE WHEN {when} THEN 0 ELSE 1 END)"
+    sums = f"t AS (SELECT tensor, ty, tx, count(*) AS n, {odd('l = v')} AS ol, {odd('rl = v')} AS orow, {odd('cl = v')} AS ocol, {odd('p = v')} AS op FROM n GROUP BY tensor, ty, tx), k AS (SELECT tensor, ty, tx, v, count(*) AS m FROM g GROUP BY tensor, ty, tx, v), m AS (SELECT tensor, ty, tx, count(*) AS kinds, max(m) AS top FROM k GROUP BY tensor, ty, tx)"
+    never = "999999"
+    rows = {"constant": f"CASE WHEN kinds = 1 THEN 2 ELSE {never} END", "inherit": f"CASE WHEN ol = 0 THEN 1 ELSE {never} END", "row": f"CASE WHEN orow = 0 THEN 9 ELSE {never} END", "column": f"CASE WHEN ocol = 0 THEN 9 ELSE {never} END", "plane": f"CASE WHEN op = 0 THEN 3 ELSE {never} END", "exceptions": f"3 + {d.div('3 * (n - top) + 1', 2)}", "raw": "129"}
+    priced = d.stacked("j", ["tensor", "ty", "tx"], [(long(i), repr(name), long(x)) for i, (name, x) in enumerate(rows.items())], ["id", "formula", "bytes"])
+    return f"{g}, {corner}, {seen}, {sums}, j AS (SELECT t.tensor, t.ty, t.tx, t.n, t.ol, t.orow, t.ocol, t.op, m.kinds, m.top FROM t JOIN m ON t.tensor = m.tensor AND t.ty = m.ty AND t.tx = m.tx), q AS ({priced})", f"SELECT tensor, {long('ty')} AS ty, {long('tx')} AS tx, {long('min(bytes)')} AS bytes, {d.argmin('formula', 'bytes', 'id')} AS formula FROM q GROUP BY tensor, ty, tx"
+
+
+@definition("words")
+def nested_tiers(d):
+    """Six mantissa bits in three nested stages of two: error that is left after each, as a share of the energy, and what
+    each stage adds in bytes."""
+    f = f"f AS (SELECT tensor, {fields(d)}, w, x FROM words)"
+    cut = lambda k: d.shl(d.shr("m", 7 - k), 7 - k)
+    stacked = d.stacked("f", ["tensor", "m"], [(long(k), long(cut(k))) for k in (2, 4, 6)], ["bits", "back"])
+    return f"{f}, s AS ({stacked})", f"SELECT tensor, bits, {long(d.div('2 * count(*) + 7', 8))} AS stage_bytes, {six('sum((m - back) * (m - back)) * 1.0 / sum(m * m + 1)')} AS left_share FROM s GROUP BY tensor, bits"
