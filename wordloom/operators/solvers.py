@@ -235,3 +235,13 @@ def phrase_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (width_allocation, lloyd_levels, feedback_quantised, nearest_quantised, trellis_quantised, low_rank_correction, phrase_grammar)}
+#: Three bits to nearest in SQL; the output noise is the sum over pairs of columns of their second moment and their errors.
+ORACLES = {
+    "nearest_quantised": f"""WITH {dialect.DUCK_RELATIONS['words']}, a AS (SELECT vec_id, greatest(max(abs(x)) / 3, 1e-12) AS s FROM words GROUP BY vec_id),
+e AS (SELECT w.tensor, w.vec_id, w.c, w.x, w.x - greatest(least(round_even(w.x / a.s, 0), 3), -4) * a.s AS e FROM words w JOIN a ON w.vec_id = a.vec_id),
+h AS (SELECT p.c AS i, q.c AS j, sum(p.x * q.x) / (SELECT count(*) FROM a) AS h FROM e p JOIN e q ON p.vec_id = q.vec_id GROUP BY p.c, q.c),
+k AS (SELECT p.tensor, p.c AS i, q.c AS j, sum(p.e * q.e) AS k FROM e p JOIN e q ON p.vec_id = q.vec_id GROUP BY p.tensor, p.c, q.c),
+o AS (SELECT k.tensor, sum(k.k * h.h) AS noise FROM k JOIN h ON k.i = h.i AND k.j = h.j GROUP BY k.tensor),
+s AS (SELECT tensor, 10 * log10(sum(x * x) / sum(e * e)) AS sqnr FROM e GROUP BY tensor)
+SELECT s.tensor, round(s.sqnr, 4) AS sqnr, round(o.noise, 6) AS output_noise FROM s JOIN o ON s.tensor = o.tensor"""
+}
