@@ -31,34 +31,35 @@ def _counts(table: dict) -> np.ndarray:
 
 
 def _coded(spark: SparkSession, sf_dir: str, code) -> DataFrame:
-    """code(exponent rows, counts) -> (payloads, exponent rows read back), for the rows of a tensor in a batch."""
+    """code(exponent rows, counts) -> (payloads, exponent rows read back, bits of each row by its counts, or 0), for the rows
+    of a tensor in a batch."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
             for tensor, part in batch.groupby("tensor"):
                 words = np.stack([np.asarray(w, np.int64) for w in part["ws"]])
                 exponents = words >> 7 & 255
-                payloads, back = code(exponents, _counts(dict(part["table"].iloc[0])))
+                payloads, back, bits = code(exponents, _counts(dict(part["table"].iloc[0])))
                 rebuilt = words & 0x807F | back << 7
                 check = (back * (1 + np.arange(back.shape[1]))).sum(axis=1)
-                yield pd.DataFrame({"tensor": tensor, "n_words": words.shape[1], "payload_bytes": [len(p) for p in payloads], "differing": (rebuilt != words).sum(axis=1), "decoded_check": check})
+                yield pd.DataFrame({"tensor": tensor, "n_words": words.shape[1], "payload_bytes": [len(p) for p in payloads], "differing": (rebuilt != words).sum(axis=1), "decoded_check": check, "bits": bits})
 
-    rows = _with_table(spark, sf_dir).mapInPandas(run, "tensor long, n_words long, payload_bytes long, differing long, decoded_check long")
-    return rows.groupBy("tensor").agg(*[F.sum(c).alias(c) for c in ("n_words", "payload_bytes", "differing", "decoded_check")])
+    rows = _with_table(spark, sf_dir).mapInPandas(run, "tensor long, n_words long, payload_bytes long, differing long, decoded_check long, bits double")
+    return rows.groupBy("tensor").agg(*[F.sum(c).alias(c) for c in ("n_words", "payload_bytes", "differing", "decoded_check", "bits")], F.count("*").alias("streams"))
 
 
 def _huffman(rows: np.ndarray, counts: np.ndarray):
     lengths = entropy.huffman_lengths(counts)
     if not lengths.any():
-        return [b""] * len(rows), np.full_like(rows, int(np.argmax(counts)))
+        return [b""] * len(rows), np.full_like(rows, int(np.argmax(counts))), 0.0
     payloads = entropy.huffman_encode(rows, lengths)
-    return payloads, entropy.huffman_decode(payloads, lengths, rows.shape[1])
+    return payloads, entropy.huffman_decode(payloads, lengths, rows.shape[1]), lengths[rows].sum(axis=1).astype(np.float64)
 
 
 def _rans(rows: np.ndarray, counts: np.ndarray):
     freq = entropy.rans_frequencies(counts)
     payloads = entropy.rans_encode(rows, freq)
-    return payloads, entropy.rans_decode(payloads, freq, rows.shape[1])
+    return payloads, entropy.rans_decode(payloads, freq, rows.shape[1]), -np.log2(freq[rows] / entropy.TOTAL).sum(axis=1)
 
 
 def _kbit(rows: np.ndarray, counts: np.ndarray):
@@ -67,7 +68,7 @@ def _kbit(rows: np.ndarray, counts: np.ndarray):
     width = max(int(len(palette) - 1).bit_length(), 1)
     codes = np.searchsorted(palette, rows)
     payloads = [entropy.pack_bits(c, np.full(len(c), width)) for c in codes]
-    return payloads, np.stack([palette[entropy.unpack_fixed(p, width, rows.shape[1])] for p in payloads])
+    return payloads, np.stack([palette[entropy.unpack_fixed(p, width, rows.shape[1])] for p in payloads]), 0.0
 
 
 def _framed(rows: np.ndarray, counts: np.ndarray):
@@ -76,7 +77,7 @@ def _framed(rows: np.ndarray, counts: np.ndarray):
     for row in rows:
         body = zlib.compress(row.astype("<u2").tobytes(), 9)
         payloads.append(MAGIC + len(body).to_bytes(4, "little") + zlib.crc32(body).to_bytes(4, "little") + body)
-    return payloads, np.stack([read_frame(p) for p in payloads])
+    return payloads, np.stack([read_frame(p) for p in payloads]), 0.0
 
 
 def read_frame(data: bytes) -> np.ndarray:
@@ -88,39 +89,25 @@ def read_frame(data: bytes) -> np.ndarray:
 
 def huffman_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Huffman codes of a whole tensor, a stream a row: what comes back, and the bits of all codes."""
-    coded = _coded(spark, sf_dir, _huffman).drop("payload_bytes")
-    lengths = F.pandas_udf(lambda tables: pd.Series([int((entropy.huffman_lengths(_counts(dict(t))) * _counts(dict(t))).sum()) for t in tables]), "long")
-    bits = _with_table(spark, sf_dir).groupBy("tensor").agg(F.any_value("table").alias("table")).select("tensor", lengths("table").alias("payload_bits"))
-    return coded.join(bits, "tensor")
+    return _coded(spark, sf_dir, _huffman).select("tensor", "n_words", "differing", "decoded_check", F.col("bits").cast("long").alias("payload_bits"))
 
 
 def rans_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range coder under the frequencies of the whole tensor, a stream a row: what comes back, and whether all streams
     together stay within the entropy of those frequencies and what a stream begins and ends with."""
-    coded = _coded(spark, sf_dir, _rans)
-
-    def bound(tables):
-        out = []
-        for t in tables:
-            n = _counts(dict(t))
-            freq = entropy.rans_frequencies(n)
-            out.append(float((n[n > 0] * -np.log2(freq[n > 0] / entropy.TOTAL)).sum()) / 8)
-        return pd.Series(out)
-
-    tables = _with_table(spark, sf_dir).groupBy("tensor").agg(F.any_value("table").alias("table"), F.count("*").alias("streams"))
-    room = tables.select("tensor", F.pandas_udf(bound, "double")("table").alias("ideal"), "streams")
-    return coded.join(room, "tensor").select("tensor", "n_words", "differing", "decoded_check", F.col("payload_bytes").between(F.col("ideal"), F.col("ideal") * 1.01 + 6 * F.col("streams")).alias("near_entropy"))
+    near = F.col("payload_bytes").between(F.col("bits") / 8, F.col("bits") / 8 * 1.01 + 6 * F.col("streams"))
+    return _coded(spark, sf_dir, _rans).select("tensor", "n_words", "differing", "decoded_check", near.alias("near_entropy"))
 
 
 def kbit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _coded(spark, sf_dir, _kbit)
+    return _coded(spark, sf_dir, _kbit).drop("bits", "streams")
 
 
 def frame_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deflated frames; a frame is refused when any of its bytes is changed."""
     refused = F.pandas_udf(lambda rows: pd.Series([_refused(np.asarray(w, np.int64)) for w in rows]), "long")
     broken = relations.rows(spark, sf_dir).groupBy("tensor").agg(F.sum(refused("ws")).alias("refused"))
-    return _coded(spark, sf_dir, _framed).drop("payload_bytes").join(broken, "tensor")
+    return _coded(spark, sf_dir, _framed).drop("payload_bytes", "bits", "streams").join(broken, "tensor")
 
 
 def _refused(row: np.ndarray) -> int:
