@@ -195,3 +195,129 @@ def test_redaction_leaves_no_span(documents, odd):
         out = pii.redacted(df)
         assert out.columns == df.columns and out.count() == df.count()
         assert not any(base_spans(PERSONAL, r.text) for r in out.collect())
+
+
+def linked_by_all_pairs(text):
+    """Weak parts that complementary parts meet: every part against every other."""
+    import regex
+
+    text = text or ""
+    strong = [(int(s.split(":")[1]), int(s.split(":")[2]), s.split(":")[0]) for s in base_spans(SECRETS, text)]
+    weak = [(m.start(), m.end(), k) for k, p in secrets.WEAK.items() for m in regex.finditer(p, text) if m.end() - m.start() >= secrets.LEAST]
+    weak = [w for w in weak if not any(s[0] < w[1] and w[0] < s[1] for s in strong)]
+    breaks = [m.start() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]
+    parts = [(a, b, k, sum(x < a for x in breaks)) for a, b, k in strong + weak]
+
+    def meets(p, roles):
+        return any(q[2] in roles and q[3] == p[3] and (q[0] >= p[1] or q[1] <= p[0]) and q[0] - p[1] <= secrets.REACH and p[0] - q[1] <= secrets.REACH for q in parts)
+
+    return {f"{p[2]}:{p[0]}:{p[1]}" for p in parts if p[2] in secrets.MEETS and all(meets(p, roles) for roles in secrets.MEETS[p[2]])}
+
+
+def test_links_equal_all_pairs(spark, odd):
+    parts = ["token = abcdef1", "AKIA" + "X1" * 8, "deadbeef" * 3, " ", " ", "\n", "\n\n", " word" * 30, " x" * 70, "https://x.example/", "ABCD1234EFGH5678", "user: bob77", "aB3" * 9, "pwd=letmein99", "host=a.b.c"]
+    for df in (odd, made(spark, parts, 5, 1500)):
+        texts = {}
+        for r in df.collect():
+            texts.setdefault(r.doc_id, []).append(r.text)
+        for r in secrets.query(spark, df).collect():
+            got = {s for s in r.spans.split(",") if s.split(":")[0] in secrets.WEAK}
+            assert any(got == linked_by_all_pairs(t) for t in texts[r.doc_id]), r.doc_id
+
+
+def discovered_by_hand(texts):
+    """Spans that bootstrapping adds, by dictionaries over all texts."""
+    shaped = lambda i: any(re.search(p, i) for p in pii.SHAPES.values())
+
+    def pattern(left):
+        found = re.search(r"(?:^|\s)(\S+\s+\S+)\s*$", left)
+        return re.sub("[0-9]", "0", re.sub(r"\s+", " ", found[1]).lower()) if found else ""
+
+    pairs, tokens = {}, []
+    for n, text in enumerate(texts):
+        base = [s.split(":") for s in base_spans(PERSONAL, text)]
+        for kind, a, b in base:
+            key = pattern(text[: int(a)]), text[int(a) : int(b)]
+            pairs[key] = max(pairs.get(key) or "", kind)
+        for m in re.finditer(pii.TOKEN, text):
+            instance = re.sub(r"[._/#+@-]+$", "", m[0])
+            wide = len(m[0]) >= 6 and len(re.sub("[^0-9]", "", m[0])) >= 4
+            if len(m[0]) >= 3 and (wide or shaped(instance)) and not any(int(a) < m.start() + len(instance) and m.start() < int(b) for _, a, b in base):
+                tokens.append((n, m.start(), instance))
+                pairs.setdefault((pattern(text[: m.start()]), instance), None)
+    known = {}
+    for (_, i), kind in pairs.items():
+        if kind:
+            known[i] = max(known.get(i, ""), kind)
+    seeds, new = dict(known), {}
+    while True:
+        patterns = {}
+        for p, i in pairs:
+            if p:
+                patterns.setdefault(p, collections.Counter())[known.get(i)] += 1
+        good = {}
+        for p, c in patterns.items():
+            kind = max((k for k in PERSONAL), key=lambda k: (c[k], k))
+            if c[kind] >= pii.SUPPORT and c[kind] / sum(c.values()) >= pii.CONFIDENCE:
+                good[p] = kind, c[kind] / sum(c.values())
+        doubt = {}
+        for (p, i), kind in pairs.items():
+            if kind is None and p in good and re.search(pii.SHAPES[good[p][0]], i):
+                doubt[i, good[p][0]] = doubt.get((i, good[p][0]), 1.0) * max(1 - good[p][1], 1e-9)
+        best = {}
+        for (i, kind), d in doubt.items():
+            if 1 - d >= pii.BELIEF:
+                best[i] = max(best.get(i, (0.0, "")), (1 - d, kind))
+        more = {i: k for i, (_, k) in best.items() if i not in new}
+        if not more:
+            break
+        new |= more
+        known = seeds | {i: k for i, k in new.items() if i not in seeds}
+    return [{f"{new[i]}:{a}:{a + len(i)}" for m, a, i in tokens if m == n and i in new} for n in range(len(texts))]
+
+
+def test_discovery_equals_brute_force(spark):
+    """Templates with identifiers that the base finds, others that it does not, and numbers that are none."""
+    import random
+
+    rng = random.Random(9)
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    kinds = {
+        "please ring": [lambda: f"+614{number(8)}"] * 4 + [lambda: f"04{number(8)}", lambda: f"9{number(3)}-{number(4)}"],
+        "server at": [lambda: f"10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.7"] * 4 + [lambda: f"10.{rng.randint(256, 999)}.1.7"],
+        "write to": [lambda: f"{rng.choice('abcde')}{number(2)}@mail.example"] * 4 + [lambda: f"{rng.choice('abcde')}{number(2)}@intranet"],
+        "order number": [lambda: number(8), lambda: f"04{number(8)}"],
+    }
+    texts = []
+    for _ in range(400):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            context = rng.choice(list(kinds))
+            words += [rng.choice(["so", "then", "see 4,"]), context, rng.choice(kinds[context])() + rng.choice(["", ".", ","])]
+        texts.append(" ".join(words))
+    got = {r.doc_id: r.spans for r in pii.query(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = discovered_by_hand(texts)
+    assert sum(map(len, want)) > 100
+    for n, text in enumerate(texts):
+        assert set(filter(None, got[n].split(","))) == set(base_spans(PERSONAL, text)) | want[n]
+    wrong = sum("order number " in texts[n][: int(s.split(":")[1])][-15:] for n in range(400) for s in want[n])
+    assert wrong <= 0.2 * sum(map(len, want))
+
+
+def test_long_texts_with_very_many_spans(spark):
+    text = "\n".join(f"192.168.0.{i % 250} user: bob pwd=letmein99 order {10000000 + i}\n" for i in range(16000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.query(spark, df).first().n_ip == 16000
+    assert len(secrets.query(spark, df).first().spans.split(",")) == 32000
+
+
+def test_verdicts_equal_sql(spark, documents, data):
+    import duckdb
+
+    from wordloom.llm.oracles import oracle_sql
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    want = con.sql(oracle_sql()["op4_divergence_rules"])
+    got = quality.query(spark, documents).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())

@@ -3,10 +3,11 @@
 Strong kinds stand by themselves: `assign` (a keyword that is given a value), `access` and `hex`. Weak parts say little
 alone: `id` (a capital-letter-and-digit identifier or the value of an account field), `secret` (a long mixed token or
 the value of a pass or key field) and `endpoint` (a URL or host field). All parts of a text are sorted by place and
-joined by interval: two parts meet if they lie in one scope (no blank line between them) within REACH code points. A
+joined by interval: two parts meet if they lie in one scope (no blank line between them) within REACH code points. The
+parts of a kind do not overlap, so a part is joined with the last of each other kind before it and the first after it,
+which are found by sorting both together. A
 weak secret is reported if an id or endpoint (or `access`) meets it; a weak id if a secret (weak, `assign` or `hex`)
-meets it; an endpoint if a secret and an id meet it. Parts have a shortest length and do not overlap within a kind, so
-only so many fit into the reach: each part is compared with that many neighbours and no more, and none is missed.
+meets it; an endpoint if a secret and an id meet it.
 
 Cases: null text counts as empty; no match gives zero counts, empty spans and the SHA-256 of the empty string; rows
 that repeat an id each get a row; an empty table gives no rows; any id, null too, passes through. Other columns are
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import whole_text
-from wordloom.llm.spans import found, kind_spans, let, written
+from wordloom.llm.spans import apart, found, kind_spans, let, ranks, written
 
 # Fixed patterns of the strong kinds; possessive forms match what the plain ones match.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
@@ -32,9 +33,10 @@ WEAK = {
     "endpoint": r"""(?i:https?|wss?|s?ftp|ssh|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|redis|mongodb(?:\+srv)?|amqps?)://[^\s"'<>]{3,}+|(?i:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,}+""",
 }
 KINDS = ["assign", "access", "hex", "id", "secret", "endpoint"]
+#: What a weak part must meet: one of each group.
+MEETS = {"id": [["assign", "hex", "secret"]], "secret": [["access", "id", "endpoint"]], "endpoint": [["assign", "hex", "secret"], ["access", "id"]]}
 #: Code points between two parts that meet; the fewest code points of a part.
 REACH, LEAST = 240, 6
-NEAR = len(KINDS) * (2 * REACH // LEAST)
 
 
 def _strong(text: Column) -> dict[str, Column]:
@@ -42,20 +44,55 @@ def _strong(text: Column) -> dict[str, Column]:
     return {"assign": assign, "access": found(text, ACCESS, only=text.contains("AKIA")), "hex": found(text, HEX)}
 
 
-def _linked(parts: Column, breaks: Column) -> Column:
-    """The weak parts (rank over 2) that complementary parts meet."""
+def _near(parts: Column, others: Column, breaks: Column) -> Column:
+    """For each part, whether one of the others, none of which overlap, lies in its scope within the reach: the last
+    that ends before it or the first that starts after it, since all others of their side are farther away."""
 
-    def meets(all_parts: Column, p: Column, i: Column, roles: list[int]) -> Column:
-        first = F.greatest(i + 1 - NEAR, F.lit(1))
-        return F.exists(F.slice(all_parts, first, F.lit(2 * NEAR + 1)), lambda q: q["rank"].isin(roles) & (q.start - p.end <= REACH) & (p.start - q.end <= REACH) & (q.scope == p.scope) & ~((q.start < p.end) & (p.start < q.end)))
+    def measured(p: Column, o: Column) -> Column:
+        starts, ends = F.transform(p, lambda x: x.start), F.transform(p, lambda x: x.end)
+        own = ranks(starts, breaks)
+        scopes = ranks(F.transform(o, lambda x: x.start), breaks)
+        before = ranks(starts, F.transform(o, lambda x: x.end), ties=True)
+        after = ranks(ends, F.transform(o, lambda x: x.start))
 
-    scoped = F.transform(F.sort_array(parts), lambda s: F.struct(s.start.alias("start"), s["rank"].alias("rank"), s.end.alias("end"), s.kind.alias("kind"), F.size(F.filter(breaks, lambda b: b.start < s.start)).alias("scope")))
+        def told(m: Column) -> Column:
+            def meets(x: Column, i: Column) -> Column:
+                b, a = F.get(m.before, i) - 1, F.get(m.after, i)
+                scope = F.get(m.own, i)
+                left = (b >= 0) & (F.get(m.scopes, b) == scope) & (x.start - F.get(o, b).end <= REACH)
+                right = (F.get(m.scopes, a) == scope) & (F.get(o, a).start - x.end <= REACH)
+                return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
 
-    def pick(a: Column) -> Column:
-        kept = F.filter(F.transform(a, lambda p, i: F.struct(p.alias("p"), F.when(p["rank"] == 3, meets(a, p, i, [0, 2, 4])).when(p["rank"] == 4, meets(a, p, i, [1, 3, 5])).when(p["rank"] == 5, meets(a, p, i, [0, 2, 4]) & meets(a, p, i, [1, 3])).otherwise(F.lit(False)).alias("hit"))), lambda x: x.hit)
-        return F.transform(kept, lambda x: F.struct(x.p.start.alias("start"), x.p["rank"].alias("rank"), x.p.end.alias("end"), x.p.kind.alias("kind")))
+            return F.transform(p, meets)
 
-    return let(scoped, pick)
+        return let(F.struct(own.alias("own"), scopes.alias("scopes"), before.alias("before"), after.alias("after")), told)
+
+    none = F.transform(parts, lambda _: F.lit(False))
+    return F.when((F.size(parts) == 0) | (F.size(others) == 0), none).otherwise(let(parts, lambda p: let(others, lambda o: measured(p, o))))
+
+
+def _linked(parts: dict[str, Column], breaks: Column) -> Column:
+    """The weak parts that complementary parts meet, as kind_spans."""
+    ends = F.transform(breaks, lambda b: b.start)
+    out = []
+    for kind, needs in MEETS.items():
+        own = parts[kind]
+        groups = []
+        for roles in needs:
+            near = [_near(own, parts[r], ends) for r in roles]
+            any_of = near[0]
+            for other in near[1:]:
+                any_of = F.zip_with(any_of, other, lambda x, y: x | y)
+            groups.append(any_of)
+        hit = groups[0]
+        for other in groups[1:]:
+            hit = F.zip_with(hit, other, lambda x, y: x & y)
+        out.append(kind_spans(_picked(own, hit), kind, KINDS.index(kind)))
+    return F.concat(*out)
+
+
+def _picked(spans: Column, which: Column) -> Column:
+    return let(which, lambda w: F.filter(spans, lambda _, i: F.get(w, i)))
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -65,14 +102,14 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.select("wl_row", "wl_text", F.struct(*[v.alias(k) for k, v in strong.items()]).alias("wl_strong"))
     rows = rows.withColumn("wl_weak", F.struct(*[F.filter(found(F.col("wl_text"), p), lambda s: F.length(s.match) >= LEAST).alias(k) for k, p in WEAK.items()]))
     base = F.concat(*[kind_spans(F.col(f"wl_strong.{k}"), k, KINDS.index(k)) for k in strong])
-    weak = F.concat(*[kind_spans(F.col(f"wl_weak.{k}"), k, KINDS.index(k)) for k in WEAK])
     counts = {f"n_{k}": F.size(f"wl_strong.{k}").cast("long") for k in strong}
-    rows = rows.select("wl_row", "wl_text", *[c.alias(n) for n, c in counts.items()], base.alias("wl_base"), weak.alias("wl_parts"))
-    # a weak part that overlaps a strong one says nothing more
-    free = F.filter("wl_parts", lambda p: ~F.exists("wl_base", lambda b: (b.start < p.end) & (p.start < b.end)))
-    rows = rows.withColumn("wl_parts", F.when(F.size("wl_parts") > 0, free).otherwise(F.col("wl_parts")))
-    breaks = found(F.col("wl_text"), r"\n[\x20\t\r]*+\n", only=(F.size("wl_parts") > 0) & F.col("wl_text").contains("\n"))
-    added = F.when(F.size("wl_parts") > 0, _linked(F.concat("wl_base", "wl_parts"), breaks)).otherwise(F.slice("wl_parts", 1, 0))
+    rows = rows.select("wl_row", "wl_text", *[c.alias(n) for n, c in counts.items()], base.alias("wl_base"), "wl_strong", "wl_weak")
+    for k in strong:  # a weak part that overlaps a strong one says nothing more
+        rows = rows.withColumn("wl_weak", F.struct(*[apart(F.col(f"wl_weak.{w}"), F.col(f"wl_strong.{k}")).alias(w) for w in WEAK]))
+    some = F.size("wl_weak.id") + F.size("wl_weak.secret") + F.size("wl_weak.endpoint") > 0
+    rows = rows.withColumn("wl_breaks", found(F.col("wl_text"), r"\n[\x20\t\r]*+\n", only=some & F.col("wl_text").contains("\n")))
+    parts = {k: F.col(f"wl_strong.{k}") for k in strong} | {k: F.col(f"wl_weak.{k}") for k in WEAK}
+    added = F.when(some, _linked(parts, F.col("wl_breaks"))).otherwise(F.slice("wl_base", 1, 0))
     return rows.select("wl_row", *counts, F.sha2(written(F.col("wl_base")), 256).alias("base_sha256"), written(F.concat(F.col("wl_base"), added)).alias("spans"))
 
 

@@ -75,6 +75,25 @@ def found(text: Column, pattern: str, left: int = 0, only: Column | None = None)
     return out if only is None else F.when(only, out).otherwise(none)
 
 
+def ranks(points: Column, marks: Column, ties: bool = False) -> Column:
+    """For each of the points, which ascend, the number of marks (ascending, too) below it; with ties, up to it. Both
+    are sorted together, so a text with very many of both costs little more than in proportion to them."""
+    own, other = F.transform(points, lambda p: F.struct(p.alias("at"), F.lit(int(ties)).alias("side"))), F.transform(marks, lambda m: F.struct(m.alias("at"), F.lit(int(not ties)).alias("side")))
+    both = F.array_sort(F.concat(own, other))
+    placed = F.filter(F.transform(both, lambda x, i: F.when(x.side == int(ties), i)), lambda i: i.isNotNull())
+    return F.transform(placed, lambda i, k: i - k)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others. Both are in order, and neither overlaps within itself."""
+
+    def kept(s: Column, o: Column) -> Column:
+        below = ranks(F.transform(s, lambda x: x.end), F.transform(o, lambda x: x.start))
+        return let(below, lambda n: F.filter(s, lambda x, i: (F.get(n, i) == 0) | (F.get(o, F.get(n, i) - 1).end <= x.start)))
+
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(let(spans, lambda s: let(others, lambda o: kept(s, o))))
+
+
 def kind_spans(spans: Column, kind: str, rank: int) -> Column:
     """Spans as (start, rank, end, kind), which sort by start and then as the kinds are listed."""
     return F.transform(spans, lambda s: F.struct(s.start.alias("start"), F.lit(rank).alias("rank"), s.end.alias("end"), F.lit(kind).alias("kind")))
