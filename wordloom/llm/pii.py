@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import stored, whole_text
-from wordloom.llm.spans import digits, found, kind_spans, let, pieces, written
+from wordloom.llm.common import FEW, salted_join, stored, whole_text
+from wordloom.llm.spans import apart, digits, found, kind_spans, let, pieces, written
 
 # Fixed patterns; each finds what the plain form of its contract finds, without walking a run of letters twice.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -29,8 +29,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 #: A token with a digit or an at sign in it.
 TOKEN = r"(?<![A-Za-z0-9@._/#+-])(?:[A-Za-z@._/#+-]*+[0-9]|[A-Za-z._/#+-]++@)[A-Za-z0-9@._/#+-]*+"
-#: Code points before a span that hold its pattern.
-LEFT = 48
+#: Code points before a span that hold its pattern, with the white space around its words. Two words that do not fit
+#: are no pattern; none is ever cut.
+LEFT = 128
 #: Known instances and their share that make a pattern, belief that makes an instance.
 SUPPORT, CONFIDENCE, BELIEF = 5, 0.6, 0.6
 # Shapes that an unseen identifier of a kind may have.
@@ -63,8 +64,10 @@ def _only(kind: str, text: Column) -> Column | None:
 
 
 def _pattern(left: Column) -> Column:
-    """The last two words before a span, lower case, digits as 0; empty if there are not two."""
-    return F.regexp_replace(F.lower(F.regexp_replace(F.regexp_extract(left, r"(?:^|\s)(\S+\s+\S+)\s*$", 1), r"\s+", " ")), "[0-9]", "0")
+    """The last two words before a span, lower case, digits as 0; empty if there are not two. `left` has one code point
+    over LEFT where the text goes on before it, and then no word is taken to begin with it."""
+    words = F.when(F.length(left) > LEFT, F.regexp_extract(left, r"\s(\S++\s++\S++)\s*+$", 1)).otherwise(F.regexp_extract(left, r"(?:^|\s)(\S++\s++\S++)\s*+$", 1))
+    return F.regexp_replace(F.lower(F.regexp_replace(words, r"\s+", " ")), "[0-9]", "0")
 
 
 def _instance(match: Column) -> Column:
@@ -76,7 +79,7 @@ def _shaped(instance: Column) -> Column:
 
 
 def _base(kind: str, text: Column) -> Column:
-    return F.filter(found(text, KINDS[kind], LEFT, _only(kind, text)), lambda s: valid(kind, s.match))
+    return F.filter(found(text, KINDS[kind], LEFT + 1, _only(kind, text)), lambda s: valid(kind, s.match))
 
 
 def _seeds(kind: str) -> Column:
@@ -91,11 +94,12 @@ def located(docs: DataFrame, text: str = "text") -> DataFrame:
     base = F.concat(*[kind_spans(F.col(f"wl_{k}"), k, i) for i, k in enumerate(KINDS)])
     seeds = F.concat(*[_seeds(k) for k in KINDS])
     # a shape takes 3 code points at least
-    tokens = F.filter(found(body, TOKEN, LEFT), lambda s: (F.length(s.match) >= 3) & (((F.length(s.match) >= 6) & (F.length(s.match) <= 64) & (F.length(digits(s.match)) >= 4)) | _shaped(_instance(s.match))))
+    tokens = F.filter(found(body, TOKEN, LEFT + 1), lambda s: (F.length(s.match) >= 3) & (((F.length(s.match) >= 6) & (F.length(digits(s.match)) >= 4)) | _shaped(_instance(s.match))))
     tokens = F.transform(tokens, lambda s: let(_instance(s.match), lambda i: F.struct(s.start.alias("start"), (s.start + F.length(i)).alias("end"), i.alias("instance"), _pattern(s.left).alias("pattern"))))
-    rows = rows.select("wl_row", *[F.size(f"wl_{k}").cast("long").alias(f"n_{k}") for k in KINDS], base.alias("wl_base"), seeds.alias("wl_seeds"), tokens.alias("wl_tokens"))
-    free = F.filter("wl_tokens", lambda t: ~F.exists("wl_base", lambda b: (b.start < t.end) & (t.start < b.end)))
-    return stored(rows.withColumns({"wl_tokens": free, "wl_id": F.monotonically_increasing_id()}), "located")
+    rows = rows.select("wl_row", *[f"wl_{k}" for k in KINDS], *[F.size(f"wl_{k}").cast("long").alias(f"n_{k}") for k in KINDS], base.alias("wl_base"), seeds.alias("wl_seeds"), tokens.alias("wl_tokens"))
+    for k in KINDS:
+        rows = rows.withColumn("wl_tokens", apart(F.col("wl_tokens"), F.col(f"wl_{k}")))
+    return stored(rows.drop(*[f"wl_{k}" for k in KINDS]).withColumn("wl_id", F.monotonically_increasing_id()), "located")
 
 
 def discovered(rows: DataFrame) -> DataFrame:
@@ -108,7 +112,7 @@ def discovered(rows: DataFrame) -> DataFrame:
     new, count = None, 0
     while True:
         known = seeds if new is None else seeds.unionByName(new.join(seeds, "instance", "left_anti").select("instance", F.col("kind").alias("known")))
-        scored = graph.join(known, "instance", "left").groupBy("pattern").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("known") == k, 1)).alias(k) for k in KINDS])
+        scored = graph.join(known.hint("merge"), "instance", "left").groupBy("pattern").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("known") == k, 1)).alias(k) for k in KINDS])
         best = F.greatest(*[F.struct(F.col(k).alias("hits"), F.lit(k).alias("kind")) for k in KINDS])
         scored = scored.select("pattern", "n", best.alias("best")).select("pattern", F.col("best.kind").alias("of"), F.col("best.hits").alias("hits"), (F.col("best.hits") / F.col("n")).alias("confidence"))
         scored = scored.filter((F.col("hits") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE))
@@ -125,8 +129,12 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     """wl_row, n_email, n_ip, n_card, n_phone, base_sha256, spans, and wl_added: kind, start, end, instance of added spans."""
     rows = located(docs, text)
     tokens = rows.select("wl_id", F.explode("wl_tokens").alias("t")).select("wl_id", "t.start", "t.end", "t.instance")
-    added = tokens.join(discovered(rows), "instance").groupBy("wl_id").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", "kind", "instance")).alias("wl_added"))
-    rows = rows.drop("wl_seeds", "wl_tokens").join(added, "wl_id", "left")
+    instances = discovered(rows)
+    counts = tokens.groupBy("instance").agg(F.count("*").alias("places"))
+    added = salted_join(tokens, stored(instances.join(counts, "instance"), "found-instances"), "instance", "places", narrow=False).groupBy("wl_id").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", "kind", "instance")).alias("wl_added"))
+    added = stored(added, "added")
+    spans = added.agg(F.sum(F.size("wl_added"))).first()[0] or 0
+    rows = rows.drop("wl_seeds", "wl_tokens").join(added.hint("broadcast" if spans <= FEW else "merge"), "wl_id", "left")
     ranks = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     extra = F.coalesce(F.transform("wl_added", lambda a: F.struct(a.start.alias("start"), ranks[a.kind].alias("rank"), a.end.alias("end"), a.kind.alias("kind"))), F.slice("wl_base", 1, 0))
     return rows.select("wl_row", *[f"n_{k}" for k in KINDS], F.sha2(written(F.col("wl_base")), 256).alias("base_sha256"), written(F.concat(F.col("wl_base"), extra)).alias("spans"), "wl_added")
