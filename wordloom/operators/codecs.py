@@ -30,16 +30,18 @@ def _counts(table: dict) -> np.ndarray:
     return out
 
 
-def _coded(spark: SparkSession, sf_dir: str, code) -> DataFrame:
-    """code(exponent rows, counts) -> (payloads, exponent rows read back, bits of each row by its counts, or 0), for the rows
-    of a tensor in a batch."""
+def _coded(spark: SparkSession, sf_dir: str, code, price=None) -> DataFrame:
+    """code(exponent rows, counts) -> (payloads, exponent rows read back), for the rows of a tensor in a batch; price, of
+    the same, gives the bits that each row should take."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
             for tensor, part in batch.groupby("tensor"):
                 words = np.stack([np.asarray(w, np.int64) for w in part["ws"]])
                 exponents = words >> 7 & 255
-                payloads, back, bits = code(exponents, _counts(dict(part["table"].iloc[0])))
+                counts = _counts(dict(part["table"].iloc[0]))
+                payloads, back = code(exponents, counts)
+                bits = price(exponents, counts) if price else 0.0
                 rebuilt = words & 0x807F | back << 7
                 check = (back * (1 + np.arange(back.shape[1]))).sum(axis=1)
                 yield pd.DataFrame({"tensor": tensor, "n_words": words.shape[1], "payload_bytes": [len(p) for p in payloads], "differing": (rebuilt != words).sum(axis=1), "decoded_check": check, "bits": bits})
@@ -51,15 +53,23 @@ def _coded(spark: SparkSession, sf_dir: str, code) -> DataFrame:
 def _huffman(rows: np.ndarray, counts: np.ndarray):
     lengths = entropy.huffman_lengths(counts)
     if not lengths.any():
-        return [b""] * len(rows), np.full_like(rows, int(np.argmax(counts))), 0.0
+        return [b""] * len(rows), np.full_like(rows, int(np.argmax(counts)))
     payloads = entropy.huffman_encode(rows, lengths)
-    return payloads, entropy.huffman_decode(payloads, lengths, rows.shape[1]), lengths[rows].sum(axis=1).astype(np.float64)
+    return payloads, entropy.huffman_decode(payloads, lengths, rows.shape[1])
 
 
 def _rans(rows: np.ndarray, counts: np.ndarray):
     freq = entropy.rans_frequencies(counts)
     payloads = entropy.rans_encode(rows, freq)
-    return payloads, entropy.rans_decode(payloads, freq, rows.shape[1]), -np.log2(freq[rows] / entropy.TOTAL).sum(axis=1)
+    return payloads, entropy.rans_decode(payloads, freq, rows.shape[1])
+
+
+def _huffman_bits(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return entropy.huffman_lengths(counts)[rows].sum(axis=1).astype(np.float64)
+
+
+def _rans_bits(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return -np.log2(entropy.rans_frequencies(counts)[rows] / entropy.TOTAL).sum(axis=1)
 
 
 def _kbit(rows: np.ndarray, counts: np.ndarray):
@@ -68,7 +78,7 @@ def _kbit(rows: np.ndarray, counts: np.ndarray):
     width = max(int(len(palette) - 1).bit_length(), 1)
     codes = np.searchsorted(palette, rows)
     payloads = [entropy.pack_bits(c, np.full(len(c), width)) for c in codes]
-    return payloads, np.stack([palette[entropy.unpack_fixed(p, width, rows.shape[1])] for p in payloads]), 0.0
+    return payloads, np.stack([palette[entropy.unpack_fixed(p, width, rows.shape[1])] for p in payloads])
 
 
 def _framed(rows: np.ndarray, counts: np.ndarray):
@@ -77,7 +87,7 @@ def _framed(rows: np.ndarray, counts: np.ndarray):
     for row in rows:
         body = zlib.compress(row.astype("<u2").tobytes(), 9)
         payloads.append(MAGIC + len(body).to_bytes(4, "little") + zlib.crc32(body).to_bytes(4, "little") + body)
-    return payloads, np.stack([read_frame(p) for p in payloads]), 0.0
+    return payloads, np.stack([read_frame(p) for p in payloads])
 
 
 def read_frame(data: bytes) -> np.ndarray:
@@ -89,14 +99,14 @@ def read_frame(data: bytes) -> np.ndarray:
 
 def huffman_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Huffman codes of a whole tensor, a stream a row: what comes back, and the bits of all codes."""
-    return _coded(spark, sf_dir, _huffman).select("tensor", "n_words", "differing", "decoded_check", F.col("bits").cast("long").alias("payload_bits"))
+    return _coded(spark, sf_dir, _huffman, _huffman_bits).select("tensor", "n_words", "differing", "decoded_check", F.col("bits").cast("long").alias("payload_bits"))
 
 
 def rans_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range coder under the frequencies of the whole tensor, a stream a row: what comes back, and whether all streams
     together stay within the entropy of those frequencies and what a stream begins and ends with."""
     near = F.col("payload_bytes").between(F.col("bits") / 8, F.col("bits") / 8 * 1.01 + 6 * F.col("streams"))
-    return _coded(spark, sf_dir, _rans).select("tensor", "n_words", "differing", "decoded_check", near.alias("near_entropy"))
+    return _coded(spark, sf_dir, _rans, _rans_bits).select("tensor", "n_words", "differing", "decoded_check", near.alias("near_entropy"))
 
 
 def kbit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
