@@ -36,6 +36,41 @@ def test_documents_equal_the_library(both, texts):
     assert [ids[p:q].tolist() for p, q in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in library.encode_batch(sample, add_special_tokens=False)]
 
 
+class Counting:
+    """A library that keeps the texts it is given."""
+
+    def __init__(self, library):
+        self.library, self.sent = library, []
+
+    def encode_batch_fast(self, texts, **how):
+        self.sent += texts
+        return self.library.encode_batch_fast(texts, **how)
+
+    def encode_batch(self, texts, **how):
+        self.sent += texts
+        return self.library.encode_batch(texts, **how)
+
+
+def test_known_words_do_not_reach_the_library_again(bpe):
+    own = Tokenizer(bpe)
+    own.encode(["x alpha beta. gamma, don't\nline слово"])
+    own.merges, own.library = Counting(own.merges), Counting(own.library)
+    ids, _ = own.encode(["x beta, alpha. gamma,\nline. beta don't слово alpha,"])
+    assert len(ids) and not own.merges.sent and not own.library.sent
+
+
+PARTS = [" ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'s", "don't", "the", "The", "ing", ",", "...", "&&&", "0", "2024", "é", "ª", "²", "×", "ɏ", "ɐ", "ǅ", "слово", "日本", "😀", "\x00", "\x1c", "\x85", "\xa0", "ÿ", "a" * 30, "<|endoftext|>"]
+
+
+@pytest.mark.parametrize("entries", [1, 64, 1 << 12])
+def test_a_memo_that_forgets_equals_the_library(bpe, both, entries):
+    own, rng = Tokenizer(bpe, entries=entries), random.Random(entries)
+    for _ in range(40):
+        texts = ["".join(rng.choice(PARTS) for _ in range(rng.choice([1, 4, 40]))) for _ in range(40)]
+        ids, at = own.encode(texts)
+        assert [ids[p:q].tolist() for p, q in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in both[1].encode_batch(texts, add_special_tokens=False)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 10**9), min_size=2, max_size=200), st.integers(8, 16))
 def test_lengths_are_limited_and_no_worse_than_flat(counts, longest):

@@ -19,6 +19,7 @@ the order of their ids' crc32 and count; an empty table gives no file. Other col
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -101,7 +102,7 @@ def write_block(code: Code, doc_ids: list[int | None], sizes: list[int], ids: np
     high = np.bincount(word, (spread >> np.uint64(32)).astype(np.float64), room).astype(np.uint64)
     low = np.bincount(word + 1, (spread & np.uint64(0xFFFFFFFF)).astype(np.float64), room).astype(np.uint64)
     payload = (high + low).astype(">u4").tobytes()[: (bits + 7) // 8]
-    used = np.unique(ids)
+    used = np.flatnonzero(np.bincount(ids, minlength=len(code.length)))
     symbols = np.zeros(len(used), "<u4,u1,<u4")
     symbols["f0"], symbols["f1"], symbols["f2"] = used, code.length[used], code.code[used]
     index = np.zeros(len(doc_ids), "u1,<i8,<u4")
@@ -124,27 +125,29 @@ def read_block(block: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     payload = np.frombuffer(block, np.uint8, offset=at + 4 * len(marks))
     if len(payload) != (bits + 7) // 8 or index["f2"].sum() != tokens:
         raise ValueError("a block of token ids is cut short")
-    # one look-up table entry for each `longest` bits
-    spot, width = np.zeros(1 << longest, np.uint32), np.zeros(1 << longest, np.uint8)
+    # one look-up table entry for each `longest` bits: id and bits of the code
+    entry = np.zeros(1 << longest, np.uint64)
     order = np.lexsort((table["f0"], table["f1"]))
     size = np.left_shift(1, longest - table["f1"][order].astype(np.int64))
     first = table["f2"][order].astype(np.int64) << (longest - table["f1"][order].astype(np.int64))
     fill = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    spot[fill], width[fill] = np.repeat(table["f0"][order], size), np.repeat(table["f1"][order], size)
-    padded = np.concatenate([payload, np.zeros(8, np.uint8)]).astype(np.uint32)
-    window = (padded[:-3] << 24) | (padded[1:-2] << 16) | (padded[2:-1] << 8) | padded[3:]
-    out = np.zeros((len(marks), stride), np.uint32)
-    place = marks.copy()
-    mask, down = (1 << longest) - 1, 32 - longest
-    for step in range(min(stride, tokens)):
-        live = len(marks) if step < (tokens - 1) % stride + 1 else len(marks) - 1
-        if not live:
-            break
-        now = place[:live]
-        key = (window[now >> 3] >> (down - (now & 7)).astype(np.uint32)) & mask
-        out[:live, step] = spot[key]
-        now += width[key]
-    ids = out.reshape(-1)[:tokens]
+    entry[fill] = np.repeat(table["f0"][order].astype(np.uint64) << np.uint64(8) | table["f1"][order], size)
+    # the last stretch may run on into zeros, for as many tokens as the others have; these are cut off
+    padded = np.concatenate([payload, np.zeros(stride * longest // 8 + 16, np.uint8)])
+    eights = np.ndarray(len(padded) - 7, ">u8", padded, strides=(1,))
+    out = np.zeros((stride, len(marks)), np.uint32)
+    place, steps = marks.copy(), min(stride, tokens)
+    # of 64 bits at a byte, at least 57 are at and after the place: so many whole codes are taken from one load
+    at_once, down = 57 // longest, np.uint64(64 - longest)
+    for step in range(0, steps, at_once):
+        ahead = eights[place >> 3].astype(np.uint64) << (place & 7).astype(np.uint64)
+        for now in range(step, min(step + at_once, steps)):
+            got = entry[ahead >> down]
+            out[now] = got >> np.uint64(8)
+            got &= np.uint64(255)
+            ahead <<= got
+            place += got.view(np.int64)
+    ids = out.T.reshape(-1)[:tokens]
     return before, index, ids, np.concatenate([[0], np.cumsum(index["f2"])]).astype(np.int64)
 
 
@@ -160,10 +163,11 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "do
         kind, total = "<u2" if size <= 1 << 16 else "<u4", np.zeros(size, np.int64)
         for b in it:
             ids, at = tok.encode(b.column(1))
+            ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
             total += np.bincount(ids, minlength=size)
-            total[end_id] += len(b)
-            rows = [np.append(ids[p:q], end_id) for p, q in zip(at[:-1], at[1:], strict=True)]
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.astype(kind).tobytes() for r in rows], pa.binary()), pa.array([crc32_of(r) for r in rows], pa.int64()), pa.nulls(len(rows), pa.binary())], names)
+            crc = [crc32_of(ids[p:q]) for p, q in itertools.pairwise(at.tolist())]
+            values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(at * np.dtype(kind).itemsize), pa.py_buffer(ids.astype(kind))])
+            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(np.diff(at)), values.cast(pa.binary()), pa.array(crc, pa.int64()), pa.nulls(len(b), pa.binary())], names)
         used = np.flatnonzero(total)
         if len(used):
             yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([used.astype("<u4").tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.array([total[used].astype("<u8").tobytes()], pa.binary())], names)
