@@ -47,16 +47,23 @@ UNITS = re.compile(r"\s*\S+|\s+")
 SPACES = " \t\n\x0b\x0c\r"
 #: A memo key: the bytes of a piece, zeros, and in the last byte its length.
 LANES = 3
+#: Stretches of ids that are put together at a time.
+GATHERED = 1 << 16
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def _gathered(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """flat[at : at + n] of all pairs, one after another."""
-    reach = np.cumsum(n)
-    place = np.repeat(at - (reach - n), n)
-    place += np.arange(len(place))
-    return flat[place]
+    """flat[at : at + n] of all pairs, one after another; some at a time, so that the places take little memory."""
+    out, done = np.empty(int(n.sum()), flat.dtype), 0
+    for i in range(0, len(at), GATHERED):
+        own = n[i : i + GATHERED]
+        reach = np.cumsum(own)
+        place = np.repeat(at[i : i + GATHERED] - (reach - own), own)
+        place += np.arange(len(place))
+        out[done : done + len(place)] = flat[place]
+        done += len(place)
+    return out
 
 
 def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -232,6 +239,8 @@ class Tokenizer:
         """Ids of all texts one after another (uint32), and where each text begins and the last ends."""
         rows = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
         got = [self._encode(rows[i:j]) for i, j in stretches(rows)]
+        if len(got) == 1:
+            return got[0]
         sizes = np.concatenate([np.zeros(1, np.int64), *[np.diff(ends) for _, ends in got]])
         return np.concatenate([np.zeros(0, np.uint32), *[ids for ids, _ in got]]), np.cumsum(sizes)
 
@@ -249,6 +258,8 @@ class Tokenizer:
         known = len(units.dictionary)
         index[ends[:-1]] = known + np.arange(len(rows))
         firsts = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), flat.take(pa.array(ends[:-1])), pa.scalar(" ", pa.large_string()))
+        units = units.dictionary
+        del parts, flat
         lost = np.zeros(len(rows), bool)
         at, size = _places(rows)
         tails, own = np.flatnonzero(size > (keep := pc.binary_length(body).to_numpy())), []
@@ -258,7 +269,7 @@ class Tokenizer:
             lost[tails] = [x.isspace() for x in pc.utf8_slice_codeunits(body.take(pa.array(tails)), -1).to_pylist()]
             index = np.insert(index, ends[1:][tails], known + len(rows) + np.arange(len(tails)))
             ends = ends + np.concatenate([[0], np.cumsum(size > keep)])
-        ids, begins, n, bad = self._units(pa.concat_arrays([units.dictionary, firsts, pa.array(own, pa.large_string())]))
+        ids, begins, n, bad = self._units(pa.concat_arrays([units, firsts, pa.array(own, pa.large_string())]))
         wrong = np.flatnonzero(bad[index]) if bad.any() else []
         lost[np.searchsorted(ends, wrong, "right") - 1] = True
         if lost.any():
