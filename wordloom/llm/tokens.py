@@ -135,11 +135,11 @@ def _cut(units: pa.LargeStringArray) -> tuple[pa.LargeBinaryArray, int, np.ndarr
 
 
 class Tokenizer:
-    """The memo is a table of `entries` places (a power of two at least), each with the key of a piece and where its ids
-    are in `flat`. A piece has two places that it may take; the last comer stays. Pieces of over 8 * LANES - 1 bytes are
+    """The memo is a table that grows with what it holds up to `entries` places (a power of two at least), each with the key
+    of a piece and where its ids are in `flat`. A piece has two places that it may take; the last comer stays. Pieces of over 8 * LANES - 1 bytes are
     not kept."""
 
-    def __init__(self, path: str, entries: int = 1 << 21):
+    def __init__(self, path: str, entries: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
 
@@ -160,14 +160,36 @@ class Tokenizer:
             raise ValueError("every byte letter of this vocabulary is in some longer token")
         self.letter, self.between = free[0]
         self.byte = bytes([LETTERS.index(self.letter)])
-        self.bits = max(1, (entries - 1).bit_length())
+        self.most = max(1, (entries - 1).bit_length())
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros((1 << self.bits, LANES), np.uint64)
-        self.at, self.n = np.zeros(1 << self.bits, np.uint32), np.zeros(1 << self.bits, np.uint8)
+        self._sized(min(self.most, 10))
         self.used, self.flat = 0, np.zeros(1 << 14, np.uint32)
 
+    def _sized(self, bits: int) -> None:
+        self.bits, self.held = bits, 0
+        self.keys = np.zeros((1 << bits, LANES), np.uint64)
+        self.at, self.n = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.uint8)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        mixed = np.bitwise_xor.reduce(keys * _MIX, axis=1)
+        return ((mixed ^ mixed >> np.uint64(32)) * _MIX[0] >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _put(self, keys: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        bits = min(self.most, int(2 * (self.held + len(keys))).bit_length())
+        if bits > self.bits:
+            full = np.flatnonzero(self.keys.any(axis=1))
+            old = self.keys[full], self.at[full], self.n[full]
+            self._sized(bits)
+            self._put(*old)
+        own = self._place(keys)
+        own = np.where(self.keys[own].any(axis=1) & ~self.keys[own ^ 1].any(axis=1), own ^ 1, own)
+        self.keys[own] = keys
+        stays = (self.keys[own] == keys).all(axis=1)
+        self.at[own[stays]], self.n[own[stays]] = at[stays], n[stays]
+        self.held += len(keys)
+
     def _keep(self, ids: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
@@ -208,8 +230,7 @@ class Tokenizer:
         keys = np.stack([eights[begins + 8 * i] & _MASKS[np.clip(size - 8 * i, 0, 8)] for i in range(LANES)], axis=1)
         kept = size < 8 * LANES
         keys[:, -1] |= np.where(kept, size, 0).astype(np.uint64) << np.uint64(56)
-        mixed = np.bitwise_xor.reduce(keys * _MIX, axis=1)
-        place = ((mixed ^ mixed >> np.uint64(32)) * _MIX[0] >> np.uint64(64 - self.bits)).astype(np.int64)
+        place = self._place(keys)
         at, n, missing = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), np.arange(len(pieces))
         for other in (0, 1):
             own = place[missing] ^ other
@@ -219,11 +240,7 @@ class Tokenizer:
         if len(missing):
             at[missing], n[missing] = self._learned(pieces.take(pa.array(missing)), int(np.searchsorted(missing, simple)))
             new = missing[kept[missing] & (n[missing] < 256)]
-            own, key = place[new], keys[new]
-            own = np.where(self.keys[own].any(axis=1) & ~self.keys[own ^ 1].any(axis=1), own ^ 1, own)
-            self.keys[own] = key
-            stays = (self.keys[own] == key).all(axis=1)
-            self.at[own[stays]], self.n[own[stays]] = at[new[stays]], n[new[stays]]
+            self._put(keys[new], at[new], n[new])
         return at, n
 
     def _units(self, units: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -245,7 +262,7 @@ class Tokenizer:
         return np.concatenate([np.zeros(0, np.uint32), *[ids for ids, _ in got]]), np.cumsum(sizes)
 
     def _encode(self, rows: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
-        if self.used > 4 << self.bits:
+        if self.used > 4 << self.most:
             self.clear()
         # Arrow cuts the texts and finds the distinct units; they are cut and looked up once for all these texts
         body = pc.utf8_rtrim(rows, characters=SPACES)
